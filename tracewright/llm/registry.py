@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op01_lexicon_bpe import op1_lexicon_bpe
+from .op04_runindex import op4_runindex
 from .op05_minhash import op5_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lexicon_bpe": op1_lexicon_bpe,
+    "op4_runindex": op4_runindex,
     "op5_minhash": op5_minhash,
 }
 
