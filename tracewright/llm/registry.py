@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_lexicon_bpe import op1_lexicon_bpe
 from .op04_runindex import op4_runindex
 from .op05_minhash import op5_minhash
+from . import op09_cascade
+from .op09_cascade import op9_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexicon_bpe": op1_lexicon_bpe,
     "op4_runindex": op4_runindex,
     "op5_minhash": op5_minhash,
+    "op9_cascade": op9_cascade,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_cascade": op09_cascade.SQL,
+}
