@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_lexicon_bpe import op1_lexicon_bpe
 from .op04_runindex import op4_runindex
 from .op05_minhash import op5_minhash
+from .op07_kernel_langid import op7_kernel_langid
 from . import op09_cascade
 from .op09_cascade import op9_cascade
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexicon_bpe": op1_lexicon_bpe,
     "op4_runindex": op4_runindex,
     "op5_minhash": op5_minhash,
+    "op7_kernel_langid": op7_kernel_langid,
     "op9_cascade": op9_cascade,
 }
 
