@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_lexicon_bpe import op1_lexicon_bpe
 from .op04_runindex import op4_runindex
 from .op05_minhash import op5_minhash
+from . import op06_line_chunks
+from .op06_line_chunks import op6_line_chunks
 from .op07_kernel_langid import op7_kernel_langid
 from . import op09_cascade
 from .op09_cascade import op9_cascade
@@ -17,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexicon_bpe": op1_lexicon_bpe,
     "op4_runindex": op4_runindex,
     "op5_minhash": op5_minhash,
+    "op6_line_chunks": op6_line_chunks,
     "op7_kernel_langid": op7_kernel_langid,
     "op9_cascade": op9_cascade,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_chunks": op06_line_chunks.SQL,
     "op9_cascade": op09_cascade.SQL,
 }
