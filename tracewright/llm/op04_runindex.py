@@ -32,7 +32,6 @@ from .scratch import Scratch, table
 WIDTH, GRAM = 200, 56
 HOT = 2_000
 BLOCK_BYTES = 1 << 19
-MAX_BROADCAST_ROWS = 400_000
 SEPARATOR = 0xFF  # in no UTF-8 text
 _POSITION = (1 << 20) - 1
 
@@ -296,12 +295,9 @@ def remove_long_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     alike = scratch.save(alike, "alike")
     hot = alike.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
     wanted = alike.join(hot, "h", "left").select("one.rid", F.struct("h", "one.a", "one.n", (F.col("k") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
-    wanted = scratch.save(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"), F.count("*").alias("k")), "wanted")
-    asked = wanted.agg(F.sum("k")).first()[0] or 0
-    wanted = wanted.drop("k")
-    wanted = F.broadcast(wanted) if asked <= MAX_BROADCAST_ROWS else wanted
+    wanted = scratch.save(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")
     # Equal rows share a rid; one text of them is enough here.
-    cut = texts.select("rid", "text").join(wanted, "rid").mapInArrow(_cut(width), "h long, rid long, a int, single boolean, hot boolean, context binary").dropDuplicates(["h", "rid", "a"])
+    cut = texts.select("rid", "text").join(wanted.hint("merge"), "rid").mapInArrow(_cut(width), "h long, rid long, a int, single boolean, hot boolean, context binary").dropDuplicates(["h", "rid", "a"])
     cut = scratch.save(cut, "cut")
     matched = cut.where("NOT hot").repartition("h").sortWithinPartitions("h").select("h", "rid", "a", "context", "single").mapInArrow(_match(width), "rid long, s int, e int")
     windows = scratch.save(cut.where("hot").select("rid", "a", "single", "context").mapInArrow(_windows(width), "w1 long, w2 long, rid long, s int, single boolean"), "windows")
@@ -315,9 +311,7 @@ def remove_long_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     removed = scratch.save(grouped.mapInArrow(_merge, "rid long, removed array<struct<s:int,e:int>>"), "removed")
     scratch.drop("again", "alike", "wanted", "cut", "windows")
-    total = removed.agg(F.sum(1 + F.size("removed"))).first()[0] or 0
-    removed = F.broadcast(removed) if total <= MAX_BROADCAST_ROWS else removed
-    return texts.join(removed, "rid", "left").select("doc_id", "text", "removed").mapInArrow(_keep, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, removed array<struct<s:int,e:int>>, kept binary")
+    return texts.join(removed.hint("merge"), "rid", "left").select("doc_id", "text", "removed").mapInArrow(_keep, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, removed array<struct<s:int,e:int>>, kept binary")
 
 
 def op4_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
