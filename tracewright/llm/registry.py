@@ -16,6 +16,8 @@ from .op06_line_chunks import op6_line_chunks
 from .op07_kernel_langid import op7_kernel_langid
 from .op08_spaced_seeds import op8_spaced_seeds
 from . import op09_cascade
+from . import op10_licenses as _op10
+from .op10_licenses import op10_licenses
 from .op09_cascade import op9_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -27,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_kernel_langid": op7_kernel_langid,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_cascade": op9_cascade,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_licenses": _op10.SQL,
     "op2_snapshots": op02_snapshots.SQL,
     "op6_line_chunks": op06_line_chunks.SQL,
     "op9_cascade": op09_cascade.SQL,
