@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_lexicon_bpe import op1_lexicon_bpe
 from . import op02_snapshots
 from .op02_snapshots import op2_snapshots
+from .op03_chaining import op3_chaining
 from .op04_runindex import op4_runindex
 from .op05_minhash import op5_minhash
 from . import op06_line_chunks
@@ -23,6 +24,7 @@ from .op09_cascade import op9_cascade
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexicon_bpe": op1_lexicon_bpe,
     "op2_snapshots": op2_snapshots,
+    "op3_chaining": op3_chaining,
     "op4_runindex": op4_runindex,
     "op5_minhash": op5_minhash,
     "op6_line_chunks": op6_line_chunks,
