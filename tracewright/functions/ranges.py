@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def positions_to_ranges(positions: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """(keys, range_ord, start, end): runs of consecutive positions; repeated positions count once."""
-    by = Window.partitionBy(*keys).orderBy(pos)
-    p = positions.select(*keys, F.col(pos).cast("long").alias("p")).distinct()
+    # dense_rank counts a repeated position once, so one shuffle by the keys serves all steps.
+    p = positions.select(*keys, F.col(pos).cast("long").alias("p"))
     by = Window.partitionBy(*keys).orderBy("p")
-    runs = p.withColumn("island", F.col("p") - F.row_number().over(by)).groupBy(*keys, "island").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("end"))
+    runs = p.withColumn("island", F.col("p") - F.dense_rank().over(by)).groupBy(*keys, "island").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("end"))
     order = Window.partitionBy(*keys).orderBy("start")
     return runs.select(*keys, (F.row_number().over(order) - 1).cast("long").alias("range_ord"), "start", "end")
 

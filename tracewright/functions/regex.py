@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +31,6 @@ def matches(column: Column, pattern: str) -> Column:
     java = to_java(pattern)
     if java is not None:
         return F.coalesce(column.rlike(java), F.lit(False))
-    import pandas as pd
-
     compiled = re.compile(pattern)
 
     @F.pandas_udf("boolean")

@@ -166,4 +166,4 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     base = 0 if last is None else last + 1
     seqs = spark.createDataFrame([(base + i, f[0]) for i, f in enumerate(fresh)], "seq_ord long, seq_id string")
     seq_tokens = spark.createDataFrame([(f[0], i, t, s) for f in fresh for i, (s, t) in enumerate(zip(f[1], f[2]))], "seq_id string, seq_pos long, id long, token string")
-    return replace(out, sequences=ts.sequences.unionByName(seqs), sequence_tokens=ts.sequence_tokens.unionByName(seq_tokens))
+    return replace(out, sequences=ts.sequences.unionByName(seqs), sequence_tokens=ts.sequence_tokens.unionByName(seq_tokens), no_sequences=False)

@@ -7,10 +7,12 @@ and positions always meet within one sample and no join lacks an equality.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,15 @@ class TraceSet:
     texts: DataFrame
     scores: DataFrame
     metadata: dict[str, Any] = field(default_factory=lambda: {"model": {"name": "unknown"}})
+    #: Known to be without sequences or annotations, so that plans leave out their joins.
+    no_sequences: bool = False
+    no_annotations: bool = False
 
     @classmethod
     def empty(cls, spark: SparkSession, **tables: Any) -> TraceSet:
         made = {n: spark.createDataFrame([], s) for n, s in (("samples", SAMPLES), ("tokens", TOKENS), ("sequences", SEQUENCES), ("sequence_tokens", SEQUENCE_TOKENS), ("annotations", ANNOTATIONS), ("spans", SPANS), ("texts", TEXTS), ("scores", SCORES))}
-        return cls(**{**made, **tables})
+        known = {"no_sequences": "sequence_tokens" not in tables, "no_annotations": "annotations" not in tables}
+        return cls(**{**made, **known, **tables})
 
     @classmethod
     def from_texts(cls, texts: DataFrame, tokens: Column | None = None, char_ids: bool = False) -> TraceSet:
@@ -63,6 +69,10 @@ class TraceSet:
 
     def annotate(self, found: DataFrame, metadata: str = "{}") -> TraceSet:
         """Merge ranges (sample_id, name, start, end) into the annotations; of one name, the first metadata stays."""
+        if self.no_annotations:
+            order = Window.partitionBy("sample_id").orderBy("name")
+            fresh = R.merge_ranges(found, ["sample_id", "name"]).select("sample_id", (F.dense_rank().over(order) - 1).cast("long").alias("ann_ord"), "name", "start", "end", F.lit(metadata).alias("metadata"))
+            return replace(self, annotations=fresh, no_annotations=False)
         last = self.annotations.groupBy("sample_id").agg(F.max("ann_ord").alias("last"))
         order = Window.partitionBy("sample_id").orderBy("name")
         fresh = found.select("sample_id", "name").distinct().withColumn("k", F.row_number().over(order)).join(last, "sample_id", "left")
@@ -74,7 +84,12 @@ class TraceSet:
 
     def annotate_positions(self, positions: DataFrame, metadata: str = "{}") -> TraceSet:
         """Annotate (sample_id, name, pos); no position, no annotation."""
-        return self.annotate(R.positions_to_ranges(positions, ["sample_id", "name"]), metadata)
+        found = R.positions_to_ranges(positions, ["sample_id", "name"])
+        if self.no_annotations:  # islands are merged already
+            order = Window.partitionBy("sample_id").orderBy("name")
+            fresh = found.select("sample_id", (F.dense_rank().over(order) - 1).cast("long").alias("ann_ord"), "name", "start", "end", F.lit(metadata).alias("metadata"))
+            return replace(self, annotations=fresh, no_annotations=False)
+        return self.annotate(found, metadata)
 
     def annotation_positions(self, name: str) -> DataFrame:
         return R.ranges_to_positions(self.annotations.where(F.col("name") == name), ["sample_id"])
@@ -107,6 +122,8 @@ class TraceSet:
 
     def expanded_tokens(self, chosen: DataFrame | None = None) -> DataFrame:
         """Tokens with references replaced; vocabulary tokens keep their extras. ``from_pos`` is the native position."""
+        if self.no_sequences:
+            return self.tokens.select("sample_id", "pos", "id", "token", "extras", F.col("pos").alias("from_pos"), F.lit(None).cast("string").alias("seq_id"))
         t = self.tokens.join(self.pieces(chosen), ["sample_id", "pos"])
         inner = F.col("expanded")
         s = self.sequence_tokens.select(F.col("seq_id").alias("sid"), "seq_pos", F.col("id").alias("sid_id"), F.col("token").alias("sid_token"))
@@ -136,12 +153,14 @@ class TraceSet:
 
     def materialize(self, chosen: DataFrame, keep_spans: bool = False) -> TraceSet:
         """Expand the references at ``chosen`` (sample_id, pos) in place; everything else follows."""
+        if self.no_sequences:
+            return self
         return self._remap(self.expanded_tokens(chosen), self.pieces(chosen), keep_spans)
 
     def expand_sequences(self) -> TraceSet:
         """All references expanded; no sequences left."""
         out = self._remap(self.expanded_tokens(), self.pieces())
-        return replace(out, sequences=self.sequences.limit(0), sequence_tokens=self.sequence_tokens.limit(0))
+        return replace(out, sequences=self.sequences.limit(0), sequence_tokens=self.sequence_tokens.limit(0), no_sequences=True)
 
     def materialize_position(self, sample_id: str, expanded: int) -> tuple[TraceSet, int]:
         """Expand only the reference that holds the expanded position; the bundle and the native index. IndexError outside."""
@@ -155,6 +174,8 @@ class TraceSet:
 
     def materialize_inconsistent(self, signature: DataFrame) -> TraceSet:
         """Expand the references whose expanded positions carry more than one signature (sample_id, pos, sig); none counts as one."""
+        if self.no_sequences:
+            return self
         e = self.expanded_tokens().where("seq_id IS NOT NULL").select("sample_id", "pos", "from_pos")
         sig = e.join(signature, ["sample_id", "pos"], "left").groupBy("sample_id", "from_pos").agg(F.count_distinct(F.struct(F.col("sig").isNull(), "sig")).alias("k"))
         return self.materialize(sig.where("k > 1").select("sample_id", F.col("from_pos").alias("pos")))
@@ -282,10 +303,6 @@ class TraceSet:
 
     @staticmethod
     def _replace_key(key: str) -> Column:
-        import json
-
-        import pandas as pd
-
         @F.pandas_udf("string")
         def put(extras: pd.Series, value: pd.Series) -> pd.Series:
             return pd.Series([None if e is None or v is None else json.dumps({**json.loads(e), key: json.loads(v)}, separators=(",", ":"), ensure_ascii=False) for e, v in zip(extras, value)], dtype=object)
