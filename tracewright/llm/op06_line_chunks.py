@@ -17,11 +17,17 @@ DIVISOR = 4
 #: Up to this many rows of (hash) or (document, chunks) are broadcast.
 MAX_BROADCAST_ROWS = 500_000
 
-_LINES = "split(coalesce(t, ''), '\\n', -1)"
-_HASHES = "transform(lines, x -> cast(conv(substr(md5(x), 1, 8), 16, 10) AS bigint))"
-_ENDS = f"""filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 OR
-    (31 * get(hashes, i) + 17 * coalesce(get(hashes, i - 1), 0L) + 7 * coalesce(get(hashes, i - 2), 0L)) % {DIVISOR} = 0)"""
-_CHUNKS = "transform(ends, (e, k) -> slice(lines, coalesce(get(ends, k - 1), -1) + 2, e - coalesce(get(ends, k - 1), -1)))"
+_HASH = "cast(conv(substr(md5(x), 1, 8), 16, 10) AS bigint)"
+#: One-element transforms name what is used again: a column of its own would be computed again wherever a filter is pushed past it.
+_CHUNKS = f"""transform(array(split(coalesce(T, ''), '\n', -1)), lines -> transform(array(transform(lines, x -> {_HASH})), hashes ->
+    transform(array(filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 OR
+        (31 * get(hashes, i) + 17 * coalesce(get(hashes, i - 1), 0L) + 7 * coalesce(get(hashes, i - 2), 0L)) % {DIVISOR} = 0)), ends ->
+    transform(ends, (e, k) -> slice(lines, coalesce(get(ends, k - 1), -1) + 2, e - coalesce(get(ends, k - 1), -1))))[0])[0])[0]"""
+
+
+def _chunks(column: str) -> Column:
+    """The text as its list of line lists."""
+    return F.expr(_CHUNKS.replace("T,", f"`{column}`,"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,9 +36,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _chunked(keyed: DataFrame) -> DataFrame:
-    """The same columns and ``chunks``: the text as its list of line lists."""
-    out = keyed.withColumn("lines", F.expr(_LINES)).withColumn("hashes", F.expr(_HASHES)).withColumn("ends", F.expr(_ENDS))
-    return out.withColumn("chunks", F.expr(_CHUNKS)).drop("lines", "hashes", "ends")
+    return keyed.withColumn("chunks", _chunks("t"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -42,14 +46,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, gone) of the texts that lose chunks; gone lists the chunks' numbers."""
-    chunked = _chunked(_keyed(docs)).select("key", "id", F.posexplode("chunks").alias("k", "chunk")).where("size(chunk) > 1")
+    chunked = _chunked(_keyed(docs)).select("key", "id", F.posexplode_outer("chunks").alias("k", "chunk")).where("size(chunk) > 1")
     hashed = scratch.save(chunked.select("key", "id", "k", F.xxhash64(F.array_join("chunk", "\n")).alias("h")), "hashed")
     again = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "k")).alias("first")).where("n > 1")
     again = scratch.save(again.select("h", "first.key", "first.k").withColumnsRenamed({"key": "first_key", "k": "first_k"}), "again")
     at = hashed.join(again.select("h"), "h", "left_semi").groupBy("key").agg(F.collect_set(F.struct("k", "h")).alias("at"))
     at = scratch.save(at, "at")
     texts = _keyed(docs).select("key", "t").join(_small(at), "key").dropDuplicates(["key"])
-    rows = _chunked(texts).select("key", "chunks", F.explode("at").alias("x")).select("key", "x.k", "x.h", F.array_join(F.expr("chunks[x.k]"), "\n").alias("bytes"))
+    rows = _chunked(texts).select("key", "chunks", F.explode_outer("at").alias("x")).select("key", "x.k", "x.h", F.array_join(F.expr("chunks[x.k]"), "\n").alias("bytes"))
     rows = scratch.save(rows, "bytes")
     first = rows.join(again, "h").where("key = first_key AND k = first_k").select("h", F.col("bytes").alias("first_bytes"), "first_key", "first_k")
     gone = rows.join(first, "h").where("bytes = first_bytes AND NOT (key = first_key AND k = first_k)")
@@ -87,14 +91,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = _small(repeated_chunks(docs, scratch)).select(F.col("key").alias("__lines_key"), F.col("gone").alias("__lines_gone"))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.col("text").cast("string")))
     joined = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__lines_key"), "left")
-    lines = joined.withColumn("lines__", F.split("text", "\n", -1))
-    part = _CHUNKS.replace("ends", "ends__").replace("lines", "lines__")
-    hashes, ends = _HASHES.replace("lines", "lines__"), _ENDS.replace("lines", "lines__").replace("hashes", "hashes__")
-    cut = lines.withColumn("hashes__", F.expr(hashes)).withColumn("ends__", F.expr(ends)).withColumn("chunks__", F.expr(part))
-    kept = F.array_join(F.flatten(F.expr("filter(chunks__, (c, k) -> NOT array_contains(__lines_gone, k))")), "\n")
+    kept = F.array_join(F.flatten(F.filter(_chunks("text"), lambda c, k: ~F.array_contains("__lines_gone", k))), "\n")
     text = F.when(F.col("__lines_gone").isNull(), F.col("text")).otherwise(kept)
     columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return cut.select(*columns)
+    return joined.select(*columns)
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
