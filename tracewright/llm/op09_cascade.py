@@ -26,13 +26,13 @@ WORD_CHARS = f"cast(length(translate({TEXT}, ' \t\n\x0b\x0c\r', '')) AS bigint)"
 N_SYMBOLS = f"cast(length({TEXT}) - length(translate({TEXT}, '#*$%&|<>', '')) AS bigint)"
 N_LINES = f"size({LINES})"
 N_DUP_LINES = f"cast(size({LINES}) - size(array_distinct({LINES})) AS bigint)"
-_WINDOWS = f"transform(sequence(0, size({WORDS}) - 5), i -> xxhash64(get({WORDS}, i), get({WORDS}, i + 1), get({WORDS}, i + 2), get({WORDS}, i + 3), get({WORDS}, i + 4)))"
+_WINDOWS = "transform(sequence(0, size(w) - 5), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2), get(w, i + 3), get(w, i + 4)))"
 #: Of the windows' hashes: sorted with their places, those equal to a neighbour, the places in order, and the words they cover.
 _COVERED = """aggregate(sort_array(transform(filter(transform(array(sort_array(transform(hashes, (h, i) -> struct(h, i)))),
     s -> transform(sequence(0, size(s) - 1), k -> struct(get(s, k).i AS i, get(s, k).h <=> get(s, k - 1).h OR get(s, k).h <=> get(s, k + 1).h AS again)))[0],
     x -> x.again), x -> x.i)), struct(0L AS n, -5 AS last), (a, p) -> struct(a.n + least(5, p - a.last) AS n, p AS last), a -> a.n)"""
-N_REPEAT_WORDS = f"""CASE WHEN size({WORDS}) < 6 THEN 0L ELSE transform(array({_WINDOWS}),
-    hashes -> CASE WHEN size(array_distinct(hashes)) = size(hashes) THEN 0L ELSE {_COVERED} END)[0] END"""
+N_REPEAT_WORDS = f"""CASE WHEN size({WORDS}) < 6 THEN 0L ELSE transform(array({WORDS}), w -> transform(array({_WINDOWS}),
+    hashes -> CASE WHEN size(array_distinct(hashes)) = size(hashes) THEN 0L ELSE {_COVERED} END)[0])[0] END"""
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,14 @@ def score_quality(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
 def keep_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, base rules in the cascade; same columns. Null and empty texts go."""
     ordered = order_rules(docs, BASE + RULES, sample_rows)
-    return _prepared(docs).where(verdict(ordered)).select(*(docs[c] for c in docs.columns)) if docs.columns else docs
+    cases = "".join(f" WHEN {r.rejects} THEN false" for r in ordered)
+    # A filter is pushed below columns, so words and lines are bound inside it, once per text.
+    text = "coalesce(cast(text AS string), '')"
+    lines = f"filter(split({text}, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    bound = f"struct({text} AS {TEXT}, array_remove(split({text}, '{SPACE}+'), '') AS {WORDS}, {lines} AS {LINES})"
+    for name in (WORDS, LINES, TEXT):
+        cases = cases.replace(name, f"d.{name}")
+    return docs.where(F.expr(f"transform(array({bound}), d -> CASE{cases} ELSE true END)[0]"))
 
 
 def op9_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
