@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         for name in names:
             self._delete(self.path(name))
 
+    def release(self) -> None:
+        """Have the driver drop what nothing refers to, so that shuffle files of steps already saved leave the disks."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         self._delete(self.root)
 
