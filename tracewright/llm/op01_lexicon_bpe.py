@@ -35,6 +35,7 @@ LEXICON_SIZE = 65_536
 CACHE_WORDS = 200_000
 TEXT_CHUNK = 1 << 20
 WORD_END = "</w>"
+SHORT, NEVER = 48, 1 << 60
 #: In these texts composition is settled and classes are the same in all versions of Unicode.
 _UNUSUAL = re.compile("[^\x00-ɏ]")
 _FAST = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -66,6 +67,9 @@ class WordBpe:
         self.letters = _byte_letters()
         #: (left id, right id) to (rank, id of both together)
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self._pair = {x << 24 | y: r << 24 | new for (x, y), (r, new) in self.merges.items()}
+        self._plain_ids = [self.vocab[c] for c in self.letters]
+        self._end_ids = [self.vocab[c + WORD_END] for c in self.letters]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for token, i in [*self.vocab.items(), *self.special.items()]:
@@ -94,7 +98,26 @@ class WordBpe:
         if word[0] == "\0" and word[1:-1] in self.special:
             return [self.special[word[1:-1]]]
         raw = word.encode("utf-8")
-        ids = [self.vocab[self.letters[b]] for b in raw[:-1]] + [self.vocab[self.letters[raw[-1]] + WORD_END]]
+        ids = [self._plain_ids[b] for b in raw]
+        ids[-1] = self._end_ids[raw[-1]]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """A scan for the least rank at each step; ``index`` gives the leftmost."""
+        get = self._pair.get
+        ranks = [get(x << 24 | y, NEVER) for x, y in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) != NEVER:
+            i = ranks.index(low)
+            ids[i] = low & 0xFFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 24 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 24 | ids[i + 1], NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, for words of any length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
