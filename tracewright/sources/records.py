@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PROVIDERS = frozenset("anthropic azure bedrock cloudflare deepseek fireworks google grok groq hf mistral mockllm ollama openai openrouter perplexity sglang together vllm".split())
+PROVIDERS = frozenset("openai anthropic google mistral cohere deepseek groq fireworks together perplexity replicate ollama vllm hf huggingface vertex bedrock azureml mockllm".split())
 
 
 def strip_provider(model: str) -> str:
