@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .traces import TraceSet
 
 SEP = "\x00"
@@ -115,7 +116,7 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     """
     if min_length < 1:
         return ts
-    clean = _clean(ts)
+    clean = cut(_clean(ts))
     order = ts.samples.select("sample_id", "sample_ord")
     k = order.count()
     if not k:
@@ -158,6 +159,7 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     none = F.array().cast("array<bigint>")
     packed = rows.join(blocked, "sample_id", "left").join(border, "sample_id", "left").select("sample_id", "t.id", "t.token", "t.extras", F.coalesce("blocked", none).alias("blocked"), F.coalesce("border", none).alias("border"))
     moved = packed.mapInPandas(_collapse(everything), "sample_id string, pos long, start long, k long, id long, token string, extras string")
+    moved = cut(moved)
     tokens = moved.select("sample_id", F.col("start").alias("pos"), "id", "token", "extras").distinct()
     pieces = moved.select("sample_id", "pos", "start", F.lit(1).cast("long").alias("len"), F.lit(False).alias("expanded"))
     out = ts._remap(tokens, pieces)

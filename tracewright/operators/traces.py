@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges as R
 from ..functions.regex import matches
 from ..functions.tokens import explode_tokens, word_tokens
+from ..session import cut
 
 SAMPLES = "sample_ord long, sample_id string, target string, error string, input_tokens long, output_tokens long, metadata string"
 TOKENS = "sample_id string, pos long, id long, token string, extras string"
@@ -316,6 +317,11 @@ class TraceSet:
         good = a.join(n, "sample_id").where("end - start = n")
         return self.set_extra(values.where("logprob IS NOT NULL").join(good, "sample_id").select("sample_id", (F.col("start") + F.col("k")).alias("pos"), F.col("logprob").cast("string").alias("value")), "logprob")
 
+    def cut(self) -> TraceSet:
+        """The same bundle with its tokens, annotations, texts and spans checkpointed, for steps that read them often."""
+        keep = {n: cut(getattr(self, n)) for n in ("samples", "tokens", "annotations", "texts", "spans")}
+        return replace(self, **keep)
+
     # -- larger operators ------------------------------------------------------------------
 
     def deduplicate_sequences(self, min_length: int = 5) -> TraceSet:

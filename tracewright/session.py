@@ -7,7 +7,7 @@ import os
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,3 +38,17 @@ def ship(spark: SparkSession) -> None:
     out.close()
     spark.sparkContext.addPyFile(name)
     spark.sparkContext._tracewright_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder the cluster shares (a local one only where none is set): short plans that survive lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            import tempfile
+
+            root = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+            df.sparkSession.conf.set("spark.checkpoint.dir", root)
+        sc.setCheckpointDir(root)
+    return df.checkpoint()

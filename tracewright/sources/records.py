@@ -183,16 +183,18 @@ def records_to_traces(records: DataFrame, min_length: int = 5, dedup: bool = Tru
     from dataclasses import replace
 
     from ..operators import chat
+    from ..session import cut
 
-    m = project(records, "messages")
+    m = cut(project(records, "messages"))
     base = chat.chat_traces(m.drop("reasoning", "tool_calls"))
-    ts = replace(base, samples=project(records, "samples"), scores=project(records, "scores"))
+    ts = replace(base, samples=project(records, "samples"), scores=project(records, "scores")).cut()
     if generated:
         ts = chat.tag_generated(ts, m)
         if logprobs:
             ts = ts.attach_logprobs(project(records, "logprobs"))
+        ts = ts.cut()
     if dedup:
-        ts = ts.deduplicate_sequences(min_length)
+        ts = ts.deduplicate_sequences(min_length).cut()
     return chat.tag_chat_roles(ts, m) if roles else ts
 
 
