@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
@@ -32,19 +33,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write and reread; with ``free``, Spark deletes the write's shuffle files as it ends, not whenever the driver collects garbage."""
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true" if free else before)
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))
 
-    def release(self) -> None:
-        """Have the driver drop what nothing refers to, so that shuffle files of steps already saved leave the disks."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def close(self) -> None:
         self._delete(self.root)
 
