@@ -34,3 +34,16 @@ def test_slices_agree(monkeypatch):
     whole = op.presence(text)[0]
     monkeypatch.setattr(op, "SLICE", 17)
     assert (op.presence(text)[0] >= whole).mean() == 1.0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    words = {f"l{k:03}": " ".join(word() for _ in range(6)) for k in range(230)}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(list(words.items()) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op.train(docs)
+    assert model.languages == sorted(words) and len(model.bits) >= len(words)
+    assert all(x.lang_pred == rows[x.doc_id][2] for x in op.identify(docs, model).collect())
+    monkeypatch.setattr(op, "TRAIN_ROWS", 100)
+    assert op.train(docs).languages == sorted(words)

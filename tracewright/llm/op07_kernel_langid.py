@@ -23,8 +23,8 @@ from .scratch import table
 
 FEATURES = 1 << 15
 ORDERS = 4
-#: Bounds of the fit: rows per language (about), languages, landmarks and ridge.
-TRAIN_PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 400, 200, 128, 1e-2
+#: The fit: rows per language (about), rows over all languages (about; each has one at least), landmarks (one a language at least), ridge.
+TRAIN_PER_LANGUAGE, TRAIN_ROWS, LANDMARKS, RIDGE = 400, 80_000, 128, 1e-2
 BATCH = 64
 SLICE = 1 << 20
 UNDETERMINED = "und"
@@ -74,7 +74,7 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     turn = np.zeros(len(y), np.int64)
     for k in range(len(languages)):
         turn[y == k] = np.arange((y == k).sum())
-    chosen = np.lexsort((y, turn))[:landmarks]
+    chosen = np.lexsort((y, turn))[: max(landmarks, len(languages))]
     model = KernelModel(languages, bits[chosen], np.zeros((0, 0), np.float32))
     land = model.landmarks()
     x = np.unpackbits(bits, axis=1).astype(np.float32)
@@ -104,14 +104,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> KernelModel | None:
     """A model from labelled rows that are not held out; None without any. Rows are drawn by a hash of doc_id."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    usable = usable.select("doc_id", F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect()
     if not counts:
         return None
-    pick = F.when(F.lit(False), F.lit(False))
-    for r in counts:
-        pick = pick.when(F.col("lang") == r.lang, F.pmod(F.xxhash64("doc_id"), F.lit(max(1, r["count"] // per_language))) == 0)
-    sample = usable.where(F.coalesce(pick, F.lit(False))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = sample.orderBy(F.xxhash64("doc_id")).select("lang", "text").mapInArrow(_bits, "lang string, bits binary").limit(2 * per_language * len(counts)).collect()
+    per_language = max(1, min(per_language, TRAIN_ROWS // len(counts)))
+    steps = docs.sparkSession.createDataFrame([(r.lang, max(1, r.n // per_language), r.low) for r in counts], "lang string, step long, low long")
+    # As small as the number of languages.
+    sample = usable.join(F.broadcast(steps), "lang").where("pmod(h, step) = 0 OR h = low")
+    rows = sample.orderBy("h").select("lang", "text").mapInArrow(_bits, "lang string, bits binary").limit((2 * per_language + 1) * len(counts)).collect()
     if not rows:
         return None
     return fit(np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
