@@ -1,6 +1,6 @@
 """BPE encoding and decoding over a minimal acyclic transducer lexicon.
 
-One pass counts the words of all documents; the ``lexicon_size`` most frequent are merged once
+One pass counts the words of all documents; up to ``lexicon_size`` of the most frequent are merged once
 on the driver and compiled into a minimal automaton with shared suffixes. Its arcs carry
 outputs that add up to a word's number, and numbers address id lists. The automaton is one
 file of arrays in the shared folder, shipped with ``addFile`` (a replacement executor fetches
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, table
 
-#: Words in the lexicon; bounds what reaches the driver.
+#: Most words in the lexicon, so the most that reach the driver; and steps of the counts' histogram per doubling.
 LEXICON_SIZE = 65_536
+STEPS = 16
 CACHE_WORDS = 200_000
 TEXT_CHUNK = 1 << 20
 WORD_END = "</w>"
@@ -307,15 +308,28 @@ def _count(path: str):
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_SIZE) -> str | None:
-    """Count all words, compile the most frequent (ties by word), and ship the file; its name, None if there are no words."""
+    """Count all words, compile the most frequent, and ship the file; its name, None if there are no words.
+
+    A histogram of the counts gives the least count of which at most ``size`` words have that or more; only these are
+    collected, whatever the number of partitions.
+    """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "lexicon")
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(path), "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
+    counts = scratch.save(counts, "counts", free=True)
+    total, least = 0, None
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r.step):  # up to 64 * STEPS rows
+        total += r["count"]
+        if total > size:
+            break
+        least = r.step
+    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
+    scratch.close()
     if not top:
         return None
     bpe = tokenizer(path)
     data = compile_lexicon((r.word, bpe.merge(r.word)) for r in top)
-    scratch = Scratch(spark, "lexicon")
     target = f"{scratch.root}.bin"
     where = spark._jvm.org.apache.hadoop.fs.Path(target)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
@@ -358,7 +372,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False, lexi
 
     Every whole text is encoded as the library does without added special tokens; a special
     token's string inside a text is that token. Null and empty texts have no ids and decode to
-    an empty string. Rows may repeat; ties in word counts break by the word; an empty table
+    an empty string. Rows may repeat; words of nearly equal counts are in the lexicon together or not at all; an empty table
     gives an empty result. ``keep`` names the columns to carry (doc_id by default); columns
     called ids or decoded cannot be carried.
     """
