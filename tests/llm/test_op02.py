@@ -48,3 +48,9 @@ def test_render_and_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert op.collapse(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_null_is_no_text(spark):
+    rows = [(1, 1, "user", None), (2, 1, "user", "\0"), (3, 1, "user", ""), (4, 1, None, ""), (5, 1, "\0", "")]
+    got = op.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.conv_id for r in got) == [1, 2, 3, 4, 5]

@@ -20,28 +20,33 @@ from .scratch import Scratch, table
 BLOCK = 1024
 
 
-def _prefixes(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Turns with pos (from 1) and the two hashes up to there; and each conversation's length and whole hashes."""
+def _blocks(turns: DataFrame) -> DataFrame:
+    """The turns with their block and place in it, ordered by turn, role and text."""
     t = turns.where("conv_id IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     t = t.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    numbered = scratch.save(t.withColumn("at", F.row_number().over(inside)), "numbered")
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = numbered.groupBy("conv_id", "block").agg(F.count("*").alias("k"))
-    offsets = sizes.select("conv_id", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
-    placed = numbered.join(offsets, ["conv_id", "block"]).withColumn("pos", F.col("at") + F.col("offset"))
+    return t.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")))
+
+
+def _prefixes(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, pos, h1, h2), the hashes of each prefix; and (conv_id, block, offset), the turns before each block. No text is written."""
     # Null and empty differ, and no content can shift between role and text.
-    content = [F.col("pos"), F.length("role"), F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))]
-    placed = placed.withColumn("x1", F.xxhash64(F.lit(1), *content)).withColumn("x2", F.xxhash64(F.lit(2), *content[::-1]))
+    content = [F.col("role").isNull(), F.col("text").isNull(), F.length("role"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    hashed = _blocks(turns).select("conv_id", "block", "at", F.xxhash64(F.lit(1), *content).alias("c1"), F.xxhash64(F.lit(2), *content[::-1]).alias("c2"))
+    hashed = scratch.save(hashed, "hashed", free=True)
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy("conv_id", "block").agg(F.count("*").alias("k"))
+    offsets = scratch.save(sizes.select("conv_id", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset")), "offsets", free=True)
+    placed = hashed.join(offsets, ["conv_id", "block"]).withColumn("pos", F.col("at") + F.col("offset"))
+    placed = placed.withColumn("x1", F.xxhash64("pos", "c1")).withColumn("x2", F.xxhash64("c2", "pos"))
     running = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = placed.withColumn("r1", F.bit_xor("x1").over(running)).withColumn("r2", F.bit_xor("x2").over(running))
-    rolled = scratch.save(rolled.drop("x1", "x2", "at", "offset"), "rolled")
-    ends = rolled.groupBy("conv_id", "block").agg(F.max_by(F.struct("r1", "r2"), "pos").alias("r"), F.count("*").alias("k"))
+    rolled = placed.select("conv_id", "block", "pos", F.bit_xor("x1").over(running).alias("r1"), F.bit_xor("x2").over(running).alias("r2"))
+    rolled = scratch.save(rolled, "rolled", free=True)
+    ends = rolled.groupBy("conv_id", "block").agg(F.max_by(F.struct("r1", "r2"), "pos").alias("r"))
     base = ends.select("conv_id", "block", F.coalesce(F.bit_xor("r.r1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.bit_xor("r.r2").over(before), F.lit(0)).alias("b2"))
-    out = rolled.join(base, ["conv_id", "block"]).select("conv_id", "pos", "role", "text", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"))
-    out = scratch.save(out, "prefixes")
-    whole = out.groupBy("conv_id").agg(F.max("pos").alias("n"), F.max_by(F.struct("h1", "h2"), "pos").alias("h")).select("conv_id", "n", "h.h1", "h.h2")
-    return out, scratch.save(whole, "whole")
+    out = rolled.join(base, ["conv_id", "block"]).select("conv_id", "pos", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"))
+    out = scratch.save(out, "prefixes", free=True)
+    scratch.drop("hashed", "rolled")
+    return out, offsets
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -53,11 +58,15 @@ def collapse(turns: DataFrame) -> DataFrame:
     names; an empty table gives an empty result.
     """
     scratch = Scratch(turns.sparkSession, "snapshots")
-    prefixes, whole = _prefixes(turns, scratch)
+    prefixes, offsets = _prefixes(turns, scratch)
+    whole = prefixes.groupBy("conv_id").agg(F.max("pos").alias("n"), F.max_by(F.struct("h1", "h2"), "pos").alias("h")).select("conv_id", "n", "h.h1", "h.h2")
+    whole = scratch.save(whole, "whole", free=True)
     proper = prefixes.join(whole.select("conv_id", "n"), "conv_id").where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
     one_each = whole.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    maximal = one_each.join(proper, ["n", "h1", "h2"], "left_anti")
-    return prefixes.join(maximal.select("conv_id"), "conv_id", "left_semi").select("conv_id", "pos", "role", "text")
+    maximal = scratch.save(one_each.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id"), "maximal", free=True)
+    scratch.drop("prefixes", "whole")
+    left = _blocks(turns.join(maximal, "conv_id", "left_semi"))
+    return left.join(offsets, ["conv_id", "block"]).select("conv_id", (F.col("at") + F.col("offset")).alias("pos"), "role", "text")
 
 
 def render(turns: DataFrame) -> DataFrame:
