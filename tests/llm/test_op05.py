@@ -68,3 +68,11 @@ def test_pruning_bound():
     b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 200, dtype=np.uint64)])
     same = (op.signature(a) == op.signature(b)).mean()
     assert abs(same - 800 / 1200) < 0.12
+
+
+def test_ids_of_several_texts(spark):
+    words = lambda x: [f"{x}{i}" for i in range(120)]
+    a, b = words("a"), words("b")
+    rows = [("5", " ".join(a)), ("5", " ".join(b)), ("8", " ".join([*a[:-1], "x"])), ("9", " ".join([*b[:-1], "y"])), ("7", " ".join(words("c")))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("5", "5", True), ("5", "5", True), ("7", "7", True), ("8", "5", False), ("9", "5", False)]
