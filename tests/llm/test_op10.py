@@ -44,3 +44,22 @@ def test_filter_is_exact():
         terms = op._terms(text)
         rest = sum((f * idf[w]) ** 2 for w, f in terms.items() if w not in needles)
         assert rest < op.THRESHOLD**2 * sum((f * idf[w]) ** 2 for w, f in terms.items())
+
+
+def test_whole_licence_files(spark):
+    from tracewright.llm import license_texts as lt
+
+    mit = "MIT License\n\nCopyright (c) 2019 A. Person\n\n" + "\n\n".join([lt._MIT_GRANT, lt._MIT_NOTICE, lt._MIT_WARRANTY])
+    bsd = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + "\n\n".join([lt._BSD_GRANT, "1. " + lt._BSD_1, "2. " + lt._BSD_2, "3. " + lt._BSD_3, lt._BSD_WARRANTY])
+    header = "\n".join("# " + line for line in (lt._APACHE_1 + "\n" + lt._APACHE_2).split("\n")) + "\n\n" + "def f(x): return x\n" * 80
+    gpl = "/*\n" + "\n".join(" * " + " ".join(p.split()) for p in lt._gpl("GNU General Public License", "version 3")) + "\n */\n\n" + "int main() { return 0; }\n" * 80
+    apache = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n" + "terms of all kinds\n" * 50
+    rows = [(1, mit, "a/LICENSE"), (2, "x", "a/x.py"), (3, bsd, "b/LICENSE.txt"), (4, "x", "b/c/x.py"), (5, header, "a/y.py"), (6, gpl, "a/z.c"), (7, "# SPDX-License-Identifier: MIT\nx = 1\n" + "y = 2\n" * 30, "b/s.py"), (8, apache, "d/COPYING"), (9, "x", "d/x.py"), (10, "x", "e.py")]
+    got, _ = scan(spark, rows)
+    want = {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "file"), 4: ("BSD-3-Clause", "inherited"), 5: ("Apache-2.0", "header"), 6: ("GPL-3.0", "header"), 7: ("MIT", "header"), 8: ("Apache-2.0", "file"), 9: ("Apache-2.0", "inherited"), 10: (None, "none")}
+    assert {d: x for (d, _), x in got.items()} == want
+
+
+def test_very_long_text(spark):
+    got, _ = scan(spark, [(1, "word " * 60_000 + "\nReleased under the MIT License.\n" + "line\n" * 30_000, "a/1"), (2, "", "a/2")])
+    assert got == {(1, "a/1"): ("MIT", "header"), (2, "a/2"): (None, "none")}

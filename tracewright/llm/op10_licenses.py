@@ -1,13 +1,14 @@
 """License scans, in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every line of every text is compared with short templates of licence headers and files.
-Terms are ``[a-z0-9]+`` after lower-casing; inverse document frequencies of the templates'
+Every line, every paragraph (lines up to an empty one) and the whole of every text are compared
+with the wordings of licence notices, headers and files. Terms are ``[a-z0-9]+`` after lower-casing; inverse document frequencies of the templates'
 terms are counted over all documents, any other term weighs as one that no document has.
-Lines are found by an exact filter: from each template the rarest terms are taken until the
-rest, alone, could not reach the threshold, so a line without any of these can't either.
+What to compare is found by an exact filter: of each template the commonest terms are left out as long as
+they alone could not reach the threshold, so a unit without any of the rest can't either.
 
-A text whose best line makes up most of its words is a licence file and speaks for its
-directory. A text without a licence line takes that of the nearest ancestor directory, found
+Of a text's units that reach the threshold the one with most weight in common with its template is the best: a whole licence outweighs
+a line of it. A text whose best unit makes up most of its words, or that bears a licence file's name, is a licence file and speaks for its
+directory. A text without a licence takes that of the nearest ancestor directory, found
 by joining each of its ancestor paths.
 """
 
@@ -18,25 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .scratch import Scratch, table
 
 THRESHOLD = 0.6
-#: A licence file has at least this share of its terms in its best line.
+#: A licence file has at least this share of its terms in its best unit, or a name of this kind.
 FILE_PERCENT = 50
-#: (licence, template): wordings of headers and of licence files. Fixed, so the vocabulary is bounded.
-TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted free of charge to any person obtaining a copy of this software under the MIT License"),
-    ("Apache-2.0", "Licensed under the Apache License Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms with or without modification are permitted under the BSD License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License version 3"),
-    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License version 2.0"),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 licence CC BY 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("proprietary", "All rights reserved"),
-]
-
-
+FILE_NAME = "(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
+BREAK = "\\n[\\x20\\x09-\\x0D]*\\n"
 def _terms(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     word = ""
@@ -67,58 +57,62 @@ def _idf(n: int, df: int) -> float:
 
 
 def _needles(idf: dict[str, float]) -> list[str]:
-    """Terms of which a line must hold one to reach the threshold with any template."""
+    """Terms of which a unit must hold one to reach the threshold with any template."""
     out: set[str] = set()
     for _, text in TEMPLATES:
-        weights = sorted(((f * idf[w]) ** 2, w) for w, f in _terms(text).items())
-        total, left = sum(x for x, _ in weights), 0.0
-        for x, w in weights:
-            left += x
-            if math.sqrt(left / total) >= THRESHOLD - 1e-9:
+        weights = sorted((idf[w], w, (f * idf[w]) ** 2) for w, f in _terms(text).items())
+        total, left = sum(x for *_, x in weights), 0.0
+        for _, w, x in weights:
+            if math.sqrt((left + x) / total) >= THRESHOLD - 1e-9:
                 out.add(w)
+            else:
+                left += x
     return sorted(out)
 
 
-def license_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, license, score, line, n_line, n_all): each text's best line and template; ``docs`` has key and text."""
+def license_units(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, license, score, n_unit, n_all): each text's best unit and template; ``docs`` has key and text."""
     n, df = document_frequencies(docs)
     idf = {w: _idf(n, df.get(w, 0)) for w in VOCABULARY}
     other = _idf(n, 0)
-    needle = r"\\b(" + "|".join(_needles(idf)) + r")\\b"
-    near = docs.where(F.expr(f"lower(text) rlike '{needle}'"))
-    lines = near.select("key", F.expr(f"size({_tokens('text')})").alias("n_all"), F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
-    lines = lines.where(F.expr(f"lower(x) rlike '{needle}'")).withColumn("words", F.expr(_tokens("x"))).withColumn("n_line", F.size("words"))
-    lines = scratch.save(lines.drop("x"), "lines")
-    tf = lines.select("key", "line", "n_all", "n_line", F.explode("words").alias("w")).groupBy("key", "line", "n_all", "n_line", "w").agg(F.count("*").alias("tf"))
+    needles = F.array(*map(F.lit, _needles(idf)))
+    near = docs.withColumn("all", F.expr(_tokens("text"))).where(F.arrays_overlap("all", needles)).select("key", F.size("all").alias("n_all"), "text")
+    units = [F.expr(f"transform({part}, (x, i) -> struct({kind} AS kind, i AS i, x AS x))") for kind, part in enumerate((r"split(text, '\n', -1)", f"split(text, '{BREAK}', -1)".replace("\\", "\\\\"), "array(text)"))]
+    units = near.select("key", "n_all", F.explode(F.concat(*units)).alias("u")).select("key", "n_all", "u.kind", "u.i", F.expr(_tokens("u.x")).alias("words")).where(F.arrays_overlap("words", needles))
+    units = scratch.save(units.withColumn("n_unit", F.size("words")), "units", free=True)
+    unit = ["key", "kind", "i", "n_all", "n_unit"]
+    tf = units.select(*unit, F.explode("words").alias("w")).groupBy(*unit, "w").agg(F.count("*").alias("tf"))
     spark = docs.sparkSession
     weights = spark.createDataFrame([(w, x) for w, x in idf.items()], "w string, idf double")
     sizes = [math.sqrt(sum((f * idf[w]) ** 2 for w, f in _terms(t).items())) for _, t in TEMPLATES]
     templates = spark.createDataFrame([(i, TEMPLATES[i][0], w, f * idf[w] / sizes[i]) for i, (_, t) in enumerate(TEMPLATES) for w, f in _terms(t).items()], "template int, license string, w string, weight double")
     # Both tables are as small as TEMPLATES.
-    weighed = scratch.save(tf.join(F.broadcast(weights), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other))), "weighed")
-    norm = weighed.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = weighed.join(F.broadcast(templates), "w").groupBy("key", "line", "n_all", "n_line", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dot.join(norm, ["key", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "line", "template", "license", "n_line", "n_all")).alias("b"))
-    return best.select("key", "b.license", (-F.col("b.minus")).alias("score"), "b.line", "b.n_line", "b.n_all")
+    weighed = scratch.save(tf.join(F.broadcast(weights), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other))), "weighed", free=True)
+    norm = weighed.groupBy("key", "kind", "i").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dot = weighed.join(F.broadcast(templates), "w").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scored = dot.join(norm, ["key", "kind", "i"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
+    best = scored.groupBy("key").agg(F.min(F.struct(F.round(-F.col("dot"), 3).alias("mass"), (-F.col("score")).alias("minus"), "kind", "i", "template", "license", "n_unit", "n_all")).alias("b"))
+    return best.select("key", "b.license", (-F.col("b.minus")).alias("score"), "b.n_unit", "b.n_all")
 
 
 def scan_licenses(docs: DataFrame, path: Column) -> DataFrame:
     """(doc_id, path, license, how, score) of every row of ``docs`` (doc_id, text, ...); ``path`` gives its place.
 
-    ``how`` is ``file`` (a licence file), ``header`` (a line of its own), ``inherited`` or ``none``
+    ``how`` is ``file`` (a licence file), ``header`` (a notice of its own), ``inherited`` or ``none``
     (license and score null). A directory with several licence files takes the best score,
-    then the first licence by name. Ties between lines go to the first line, then the first template. Null
+    then the first licence by name. Ties between units go to lines before paragraphs before whole texts, the first of them, then the first template. Null
     and empty texts have no line; a null path has no ancestors. Rows that repeat doc_id, path
     and text are alike. Other columns are unused, whatever their names; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "licenses")
     base = docs.select(F.col("doc_id"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("key", F.xxhash64("doc_id", "path", "text"))
-    found = scratch.save(license_lines(base.where("text IS NOT NULL").select("key", "text"), scratch), "found")
-    is_file = F.col("n_line") * 100 >= FILE_PERCENT * F.col("n_all")
-    own = base.drop("text").join(found.withColumn("file", is_file).drop("line", "n_line", "n_all"), "key", "left")
+    parts = [x for c in ("doc_id", "path", "text") for x in (F.col(c).isNull(), F.col(c))]
+    base = base.withColumn("key", F.concat(F.hex(F.xxhash64(F.lit(1), *parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), *parts[::-1]))))
+    found = scratch.save(license_units(base.where("text IS NOT NULL").select("key", "text"), scratch), "found")
+    is_file = (F.col("n_unit") * 100 >= FILE_PERCENT * F.col("n_all")) | F.coalesce(F.lower("path").rlike(FILE_NAME), F.lit(False))
+    own = base.drop("text").join(found, "key", "left").withColumn("file", F.col("license").isNotNull() & is_file).drop("n_unit", "n_all")
     own = scratch.save(own, "own")
+    scratch.drop("units", "weighed", "found")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     speaks = own.where("file AND path IS NOT NULL").groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
     speaks = scratch.save(speaks.select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.minus")).alias("dir_score")), "speaks")
@@ -148,16 +142,18 @@ tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w
 df AS (SELECT w, count(DISTINCT doc_id) AS df FROM tok WHERE w IN (SELECT w FROM tmpl) GROUP BY w),
 idf AS (SELECT DISTINCT t.w, ln((1 + n.n) / (1.0 + coalesce(df.df, 0))) + 1 AS idf FROM tmpl t CROSS JOIN n LEFT JOIN df USING (w)),
 tw AS (SELECT template, license, w, f * idf / sqrt(sum((f * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tmpl JOIN idf USING (w)),
-line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM docs),
-lw AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM line),
-tf AS (SELECT doc_id, line, w, count(*) AS tf FROM lw GROUP BY ALL),
-x AS (SELECT doc_id, line, w, tf, tf * coalesce(idf, ln(1 + n.n) + 1) AS x FROM tf CROSS JOIN n LEFT JOIN idf USING (w)),
-norm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm, sum(tf) AS n_line FROM x GROUP BY ALL),
-dot AS (SELECT doc_id, line, template, license, sum(x * weight) AS dot FROM x JOIN tw USING (w) GROUP BY ALL),
-scored AS (SELECT *, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, line) WHERE round(dot / norm, 6) >= {THRESHOLD}),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, template) = 1),
+unit AS (SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs
+    UNION ALL SELECT doc_id, 1, unnest(string_split_regex(text, '{BREAK}')), generate_subscripts(string_split_regex(text, '{BREAK}'), 1) FROM docs
+    UNION ALL SELECT doc_id, 2, text, 1 FROM docs),
+uw AS (SELECT doc_id, kind, i, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM unit),
+tf AS (SELECT doc_id, kind, i, w, count(*) AS tf FROM uw GROUP BY ALL),
+x AS (SELECT doc_id, kind, i, w, tf, tf * coalesce(idf, ln(1 + n.n) + 1) AS x FROM tf CROSS JOIN n LEFT JOIN idf USING (w)),
+norm AS (SELECT doc_id, kind, i, sqrt(sum(x * x)) AS norm, sum(tf) AS n_unit FROM x GROUP BY ALL),
+dot AS (SELECT doc_id, kind, i, template, license, sum(x * weight) AS dot FROM x JOIN tw USING (w) GROUP BY ALL),
+scored AS (SELECT *, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, kind, i) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(-dot, 3), score DESC, kind, i, template) = 1),
 alln AS (SELECT doc_id, count(*) AS n_all FROM tok GROUP BY doc_id),
-own AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.license, b.score, b.n_line * 100 >= {FILE_PERCENT} * a.n_all AS file FROM docs d LEFT JOIN best b USING (doc_id) LEFT JOIN alln a USING (doc_id)),
+own AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.license, b.score, b.license IS NOT NULL AND (b.n_unit * 100 >= {FILE_PERCENT} * a.n_all OR regexp_matches(lower(d.path), '{FILE_NAME}')) AS file FROM docs d LEFT JOIN best b USING (doc_id) LEFT JOIN alln a USING (doc_id)),
 speaks AS (SELECT dir, license, score FROM own WHERE file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 near AS (SELECT o.dir, s.license, s.score FROM (SELECT DISTINCT dir FROM own) o JOIN speaks s ON o.dir = s.dir OR starts_with(o.dir, s.dir || '/') OR s.dir = '' QUALIFY row_number() OVER (PARTITION BY o.dir ORDER BY length(s.dir) DESC) = 1)
 SELECT doc_id, path, coalesce(o.license, near.license) AS license,
