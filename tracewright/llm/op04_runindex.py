@@ -87,9 +87,9 @@ def row_runs(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndar
 def _runs(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
+            rid = batch.column("rid")
             for row, a, n, h, c in row_runs(batch.column("text"), width):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rid[row]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16))], ["h", "c", "rid", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), rid.take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16))], ["h", "c", "rid", "a", "n"])
 
     return run
 
@@ -108,7 +108,7 @@ def _cut(width: int):
                     out.append((w["h"], rid[r].as_py(), w["a"], w["single"], w["hot"], buf[s : s + w["n"] - 1 + width].tobytes()))
                 if len(out) > 10_000 or out and r == batch.num_rows - 1:
                     cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())], ["h", "rid", "a", "single", "hot", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())], ["h", "rid", "a", "single", "hot", "context"])
                     out = []
 
     return run
@@ -200,7 +200,7 @@ def _index_block(rows: list[tuple], width: int) -> pa.RecordBatch:
             rid += [r] * len(first)
             s += (first + a).tolist()
             e += (last + a).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["rid", "s", "e"])
+    return pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["rid", "s", "e"])
 
 
 def _match(width: int):
@@ -228,7 +228,7 @@ def _windows(width: int):
             for rid, a, single, context in zip(*(batch.column(c).to_pylist() for c in ("rid", "a", "single", "context"))):
                 view, n = memoryview(context), len(context) - width + 1
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + width]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(n, rid)), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([single] * n)], ["w1", "w2", "rid", "s", "single"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([rid] * n, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([single] * n)], ["w1", "w2", "rid", "s", "single"])
 
     return run
 
@@ -284,8 +284,9 @@ def remove_long_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "runindex")
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
-    runs = scratch.save(texts.select("rid", "text").mapInArrow(_runs(width), "h long, c long, rid long, a int, n smallint"), "runs")
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
+    texts = texts.withColumn("rid", F.unhex(F.md5(F.concat(F.length(ident), F.lit(":"), ident, "text").cast("binary"))))
+    runs = scratch.save(texts.select("rid", "text").mapInArrow(_runs(width), "h long, c long, rid binary, a int, n smallint"), "runs")
     anchors = runs.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1")
     again = scratch.save(runs.join(anchors.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h"), "again")
     scratch.drop("runs")
@@ -297,10 +298,10 @@ def remove_long_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     wanted = alike.join(hot, "h", "left").select("one.rid", F.struct("h", "one.a", "one.n", (F.col("k") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = scratch.save(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")
     # Equal rows share a rid; one text of them is enough here.
-    cut = texts.select("rid", "text").join(wanted.hint("merge"), "rid").mapInArrow(_cut(width), "h long, rid long, a int, single boolean, hot boolean, context binary").dropDuplicates(["h", "rid", "a"])
+    cut = texts.select("rid", "text").join(wanted.hint("merge"), "rid").mapInArrow(_cut(width), "h long, rid binary, a int, single boolean, hot boolean, context binary").dropDuplicates(["h", "rid", "a"])
     cut = scratch.save(cut, "cut")
-    matched = cut.where("NOT hot").repartition("h").sortWithinPartitions("h").select("h", "rid", "a", "context", "single").mapInArrow(_match(width), "rid long, s int, e int")
-    windows = scratch.save(cut.where("hot").select("rid", "a", "single", "context").mapInArrow(_windows(width), "w1 long, w2 long, rid long, s int, single boolean"), "windows")
+    matched = cut.where("NOT hot").repartition("h").sortWithinPartitions("h").select("h", "rid", "a", "context", "single").mapInArrow(_match(width), "rid binary, s int, e int")
+    windows = scratch.save(cut.where("hot").select("rid", "a", "single", "context").mapInArrow(_windows(width), "w1 long, w2 long, rid binary, s int, single boolean"), "windows")
     counted = windows.join(windows.groupBy("w1", "w2").count().where("count > 1").drop("count"), ["w1", "w2"]).where("single")
     spans = (
         again.where("NOT mixed").select("rid", F.col("a").alias("s"), end)
@@ -308,8 +309,9 @@ def remove_long_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .unionByName(matched)
         .unionByName(counted.select("rid", "s", (F.col("s") + width).cast("int").alias("e")))
     )
-    grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    removed = scratch.save(grouped.mapInArrow(_merge, "rid long, removed array<struct<s:int,e:int>>"), "removed")
+    # Equal rows give equal spans.
+    grouped = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    removed = scratch.save(grouped.mapInArrow(_merge, "rid binary, removed array<struct<s:int,e:int>>"), "removed")
     scratch.drop("again", "alike", "wanted", "cut", "windows")
     return texts.join(removed.hint("merge"), "rid", "left").select("doc_id", "text", "removed").mapInArrow(_keep, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, removed array<struct<s:int,e:int>>, kept binary")
 
