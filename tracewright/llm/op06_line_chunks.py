@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, table
 
 DIVISOR = 4
-#: Up to this many rows of (hash) or (document, chunks) are broadcast.
-MAX_BROADCAST_ROWS = 500_000
+#: Tables of (document, chunks) are broadcast up to this many documents and chunks together, which is below 20 MB.
+MAX_BROADCAST = 200_000
 
 _HASH = "cast(conv(substr(md5(x), 1, 8), 16, 10) AS bigint)"
 #: One-element transforms name what is used again: a column of its own would be computed again wherever a filter is pushed past it.
@@ -30,18 +30,28 @@ def _chunks(column: str) -> Column:
     return F.expr(_CHUNKS.replace("T,", f"`{column}`,"))
 
 
+def _key() -> Column:
+    text = F.col("text").cast("string")
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(text), F.xxhash64(F.lit(2), text))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(key, t): the key is the doc_id and a hash of the text, so null and repeated ids do no harm."""
-    return docs.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.col("text").cast("string"))).alias("key"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"))
+    return docs.select(_key().alias("key"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"))
 
 
 def _chunked(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("chunks", _chunks("t"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if its counted rows are few enough; else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+def _small(df: DataFrame, listed: str) -> DataFrame:
+    """Broadcast if its counted rows and the elements of their lists are few enough; else joined by shuffle."""
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(1 + F.size(listed)), F.lit(0))).first()[0] <= MAX_BROADCAST else df
+
+
+def _left(chunks: str, gone: str) -> Column:
+    """The lines of the chunks that stay, in time linear in the chunks."""
+    return F.array_join(F.flatten(F.expr(f"transform(array_except(sequence(0, size({chunks}) - 1), {gone}), k -> get({chunks}, k))")), "\n")
 
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -52,7 +62,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = scratch.save(again.select("h", "first.key", "first.k").withColumnsRenamed({"key": "first_key", "k": "first_k"}), "again")
     at = hashed.join(again.select("h"), "h", "left_semi").groupBy("key").agg(F.collect_set(F.struct("k", "h")).alias("at"))
     at = scratch.save(at, "at")
-    texts = _keyed(docs).select("key", "t").join(_small(at), "key").dropDuplicates(["key"])
+    texts = _keyed(docs).select("key", "t").join(_small(at, "at"), "key").dropDuplicates(["key"])
     rows = _chunked(texts).select("key", "chunks", F.explode_outer("at").alias("x")).select("key", "x.k", "x.h", F.array_join(F.expr("chunks[x.k]"), "\n").alias("bytes"))
     rows = scratch.save(rows, "bytes")
     first = rows.join(again, "h").where("key = first_key AND k = first_k").select("h", F.col("bytes").alias("first_bytes"), "first_key", "first_k")
@@ -72,8 +82,7 @@ def cut_lines(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_chunks(docs, scratch)
-    joined = _chunked(_keyed(docs).join(_small(gone), "key", "left"))
-    left = F.expr("filter(chunks, (c, k) -> NOT array_contains(gone, k))")
+    joined = _chunked(_keyed(docs).join(_small(gone, "gone"), "key", "left"))
     removed = F.expr("aggregate(gone, 0L, (a, k) -> a + size(chunks[k]))")
     none = F.col("gone").isNull()
     return joined.select(
@@ -81,17 +90,20 @@ def cut_lines(docs: DataFrame) -> DataFrame:
         F.when(F.col("t").isNull(), 0).otherwise(F.expr("aggregate(chunks, 0L, (a, c) -> a + size(c))")).cast("long").alias("n_lines"),
         F.when(none, F.lit(0)).otherwise(removed).cast("long").alias("n_removed_lines"),
         F.when(none, F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed_chunks"),
-        F.when(none, F.col("t")).otherwise(F.array_join(F.flatten(left), "\n")).alias("kept"),
+        F.when(none, F.col("t")).otherwise(_left("chunks", "gone")).alias("kept"),
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text`` (and n_chars, if present, counted again); same columns and rows."""
+    """``docs`` with repeated chunks cut from ``text`` (and n_chars, if present, counted again); same columns and rows.
+
+    Null, empty and repeated texts, ties and an empty table are as in ``cut_lines``. Columns may have any names but those that begin with ``__``.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = _small(repeated_chunks(docs, scratch)).select(F.col("key").alias("__lines_key"), F.col("gone").alias("__lines_gone"))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.col("text").cast("string")))
-    joined = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__lines_key"), "left")
-    kept = F.array_join(F.flatten(F.filter(_chunks("text"), lambda c, k: ~F.array_contains("__lines_gone", k))), "\n")
+    gone = _small(repeated_chunks(docs, scratch), "gone").select(F.col("key").alias("__lines_key"), F.col("gone").alias("__lines_gone"))
+    key = _key()
+    joined = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__lines_key"), "left").withColumn("__chunks", F.when(F.col("__lines_gone").isNotNull(), _chunks("text")))
+    kept = _left("__chunks", "__lines_gone")
     text = F.when(F.col("__lines_gone").isNull(), F.col("text")).otherwise(kept)
     columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns)
