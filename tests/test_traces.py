@@ -1,7 +1,12 @@
+import json
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import decode, jsontext, ranges
+from tracewright.functions import ranges as R
 from tracewright.functions.regex import to_java
 from tracewright.functions.tokens import char_tokens
 from tracewright.operators import chat, fields, sequences, summary, textmatch
@@ -208,3 +213,32 @@ def test_missing_sequences_are_reported(spark):
 
     ts = documents.from_dict(spark, doc([{"id": 0, "tokens": toks(("gone", None))}]))
     assert [r.rule for r in violations(ts).collect()] == ["missing_sequence"]
+
+
+def test_tagging_lists_as_rows(spark):
+    """Fresh texts are tagged inside their rows; other bundles over exploded tokens. Both agree."""
+    rnd = random.Random(4)
+    rows = [(i, str(i), "" if i == 3 else None if i == 4 else " ".join(rnd.choice(["a", "12", "B", "Cd.", "7"]) for _ in range(rnd.randint(1, 30)))) for i in range(40)]
+    ts = TraceSet.from_texts(spark.createDataFrame(rows, "sample_ord long, sample_id string, text string"))
+    tags = [("[0-9]", "n"), ("^ ?[A-Z]", "up"), ("7", "seven"), ("[.]$", "up"), ("never", "never")]
+    assert ts.lists is not None
+    got, want = (sorted(map(tuple, x.tag_by_regexes(tags).annotations.collect())) for x in (ts, replace(ts, lists=None)))
+    assert got == want and got
+
+
+def test_running_sum(spark):
+    rows = [(k, k % 5) for k in range(200)]
+    got = R.running_sum(spark.createDataFrame(rows, "k long, v long").repartition(7), ["k"], F.col("v"), "total").collect()
+    assert {r.k: r.total for r in got} == {k: sum(x for _, x in rows[: k + 1]) for k, _ in rows}
+
+
+def test_stripped_content(spark):
+    m = spark.createDataFrame([("a", 0, "user", "\n hi\x1c\n")], "sample_id string, turn long, role string, content string")
+    found = textmatch.message_spans(m, spark.createDataFrame([("a", "[user]hi")], "sample_id string, text string")).collect()
+    assert [(x.role, x.s_start, x.s_end) for x in found] == [("user", 6, 8)]
+
+
+def test_pretty_is_json():
+    doc = {"tokens": [{"token": "a\0", "id": 1}, {"token": 'b"', "extras": {"x": [{"token": "c"}]}}], "e": [], "o": {}, "u": "é\0003"}
+    text = jsontext.pretty(doc)
+    assert json.loads(text) == doc and '\n        {"token": "a\\u0000", "id": 1},\n' in text and '{"token": "c"}\n' in text and "é" in text

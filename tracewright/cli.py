@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     view.add_argument("-o", "--output")
     view.add_argument("--compact", action="store_true")
     kinds = commands.add_parser("convert", help="make a document").add_subparsers(dest="kind", required=True)
-    for kind in ("txt", "records"):
+    for kind in ("txt", "records", "eval"):
         c = kinds.add_parser(kind)
         c.add_argument("paths", nargs="+")
         c.add_argument("-o", "--output")
@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         c.add_argument("--format", default="trz", choices=["json", "trz", "parquet"])
         c.add_argument("--min-length", type=int, default=5)
         c.add_argument("--no-dedup", action="store_true")
+        c.add_argument("--tokenizer", help="a tokenizer file; without one txt has words, the others have characters")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("tracewright").getOrCreate()
     if a.command == "view":
@@ -43,10 +44,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for path in a.paths:
         try:
             if a.kind == "txt":
-                ts = TraceSet.from_texts(records.read_text_files(spark, path, a.pattern))
+                ts = TraceSet.from_texts(records.read_text_files(spark, path, a.pattern), tokenizer=a.tokenizer)
                 ts = ts if a.no_dedup else ts.deduplicate_sequences(a.min_length)
             else:
-                ts = records.records_to_traces(records.read_records(spark, path), a.min_length, not a.no_dedup)
+                rows, metadata = records.read_eval_log(spark, path) if a.kind == "eval" else (records.read_records(spark, path), None)
+                ts = records.records_to_traces(rows, a.min_length, not a.no_dedup, metadata=metadata, tokenizer=a.tokenizer)
         except ValueError as e:
             print(e, file=sys.stderr)
             return 1

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+
+def running_sum(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row, in the order given.
+
+    Rows are parted by ranges of the order and summed within them; only the sums of the parts meet in one task.
+    """
+    parted = cut(rows.withColumn("__value", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parted.groupBy("__part").agg(F.sum("__value").alias("__all")).select("__part", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__base"))
+    inside = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # As small as the number of partitions.
+    return parted.withColumn(name, inside).join(F.broadcast(base), "__part").withColumn(name, F.col(name) + F.col("__base")).drop("__part", "__value", "__base")
+
 
 def positions_to_ranges(positions: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """(keys, range_ord, start, end): runs of consecutive positions; repeated positions count once."""

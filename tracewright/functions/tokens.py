@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sum
+
 #: Lossless: leading white space stays with the word, trailing white space is a token of its own.
 WORD_PATTERN = "[ \\t\\r\\n]*[^ \\t\\r\\n]+|[ \\t\\r\\n]+"
 
@@ -38,6 +40,6 @@ def char_offsets(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """(token, vocab_id, n): dense ids in binary order of the distinct tokens; the window runs over these only."""
+    """(token, vocab_id, n): dense ids in binary order of the distinct tokens."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    return counts.select("token", (F.dense_rank().over(Window.orderBy("token")) - 1).cast("long").alias("vocab_id"), "n")
+    return running_sum(counts, ["token"], F.lit(1), "k").select("token", (F.col("k") - 1).cast("long").alias("vocab_id"), "n")

@@ -61,11 +61,18 @@ def message_ranges(messages: DataFrame, tokens: DataFrame, rendered: DataFrame,
     return j.select("sample_id", "turn", "role", "name", F.when(ok, start).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def chat_traces(messages: DataFrame, tokens: Column | None = None) -> TraceSet:
-    """One sample per conversation of messages (sample_ord, sample_id, turn, role, content): rendered, tokenized, with a text per message."""
+def chat_traces(messages: DataFrame, tokens: Column | None = None, tokenizer: str | None = None) -> TraceSet:
+    """One sample per conversation of messages (sample_ord, sample_id, turn, role, content): rendered, tokenized, with a text per message.
+
+    Tokens are those of the ``tokenizer`` file, of the column expression, or else characters.
+    """
     rendered = render(messages)
     order = messages.groupBy("sample_id").agg(F.min("sample_ord").alias("sample_ord"))
-    base = TraceSet.from_texts(rendered.join(order, "sample_id"), char_tokens(F.col("text")) if tokens is None else tokens, tokens is None)
+    texts = rendered.join(order, "sample_id")
+    if tokenizer:
+        base = TraceSet.from_texts(texts, tokenizer=tokenizer)
+    else:
+        base = TraceSet.from_texts(texts, char_tokens(F.col("text")) if tokens is None else tokens, tokens is None)
     r = message_ranges(messages.select("sample_id", "turn", "role", "content"), base.tokens, rendered)
     named = name_messages(messages).select("sample_id", "turn", F.coalesce("content", F.lit("")).alias("value"))
     w = Window.partitionBy("sample_id").orderBy("turn")
@@ -119,7 +126,7 @@ def last_reply(messages: DataFrame, role: str = "assistant") -> DataFrame:
     return m.groupBy("sample_id").agg(F.max_by("content", "turn").alias("content"))
 
 
-def tag_generated(ts: TraceSet, messages: DataFrame) -> TraceSet:
-    """Annotate ``generated``: the last assistant message with content."""
-    r = message_token_range(ts.expanded_tokens(), render(messages), last_reply(messages))
+def tag_generated(ts: TraceSet, messages: DataFrame, rendered: DataFrame | None = None) -> TraceSet:
+    """Annotate ``generated``: the last assistant message with content, in the rendering of the messages or the one given."""
+    r = message_token_range(ts.expanded_tokens(), render(messages) if rendered is None else rendered, last_reply(messages))
     return ts.annotate(r.withColumn("name", F.lit("generated")), '{"source":"converter"}')

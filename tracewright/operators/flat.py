@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranges import positions_to_ranges, ranges_to_positions
+from ..functions.ranges import positions_to_ranges, ranges_to_positions, running_sum
 from ..functions.regex import matches
 from .traces import TraceSet
 
@@ -28,8 +28,7 @@ class FlatStore:
         rows = ts.expanded_tokens() if expand else ts.tokens.withColumn("seq_id", F.when(F.col("id").isNull(), F.col("token")).otherwise(none))
         n = rows.groupBy("sample_id").agg(F.count("*").alias("n"))
         sized = ts.samples.select("sample_ord", "sample_id").join(n, "sample_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        end = F.sum("n").over(Window.orderBy("sample_ord").rowsBetween(Window.unboundedPreceding, 0))
-        offsets = sized.withColumn("end", end).select("sample_ord", "sample_id", (F.col("end") - F.col("n")).alias("start"), "end")
+        offsets = running_sum(sized, ["sample_ord"], F.col("n"), "end").select("sample_ord", "sample_id", (F.col("end") - F.col("n")).alias("start"), "end")
         placed = rows.join(offsets.select("sample_id", F.col("start").alias("offset")), "sample_id")
         tokens = placed.select("sample_id", "pos", (F.col("offset") + F.col("pos")).alias("global_pos"), "id", "token", "seq_id")
         native = ranges_to_positions(ts.annotations, ["sample_id", "name"])

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.tokens import char_offsets
 
 
+#: Python's str.strip in Java's regular expressions.
+STRIPPED = r"regexp_replace(x.content, '(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '')"
+
+
 def joined_text(tokens: DataFrame) -> DataFrame:
     """(sample_id, text): each sample's tokens in order. A sample is one row here, as everywhere at the sources and sinks."""
     rows = tokens.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
@@ -65,9 +69,9 @@ def message_spans(messages: DataFrame, text: DataFrame) -> DataFrame:
         CASE WHEN coalesce(x.content, '') = '' THEN a
         WHEN locate(x.content, text, cast(a.cur + 1 AS int)) > 0 THEN struct(locate(x.content, text, cast(a.cur + 1 AS int)) - 1 + cast(length(x.content) AS bigint) AS cur,
             array_append(a.out, struct(x.role AS role, cast(locate(x.content, text, cast(a.cur + 1 AS int)) - 1 AS bigint) AS s, locate(x.content, text, cast(a.cur + 1 AS int)) - 1 + cast(length(x.content) AS bigint) AS e)) AS out)
-        WHEN trim(x.content) <> '' AND locate(trim(x.content), text, cast(a.cur + 1 AS int)) > 0 THEN struct(locate(trim(x.content), text, cast(a.cur + 1 AS int)) - 1 + cast(length(trim(x.content)) AS bigint) AS cur,
-            array_append(a.out, struct(x.role AS role, cast(locate(trim(x.content), text, cast(a.cur + 1 AS int)) - 1 AS bigint) AS s, locate(trim(x.content), text, cast(a.cur + 1 AS int)) - 1 + cast(length(trim(x.content)) AS bigint) AS e)) AS out)
-        ELSE a END, a -> a.out)"""
+        WHEN strip(x.content) <> '' AND locate(strip(x.content), text, cast(a.cur + 1 AS int)) > 0 THEN struct(locate(strip(x.content), text, cast(a.cur + 1 AS int)) - 1 + cast(length(strip(x.content)) AS bigint) AS cur,
+            array_append(a.out, struct(x.role AS role, cast(locate(strip(x.content), text, cast(a.cur + 1 AS int)) - 1 AS bigint) AS s, locate(strip(x.content), text, cast(a.cur + 1 AS int)) - 1 + cast(length(strip(x.content)) AS bigint) AS e)) AS out)
+        ELSE a END, a -> a.out)""".replace("strip(x.content)", STRIPPED)
     )
     return j.select("sample_id", F.posexplode(found).alias("span_ord", "x")).select("sample_id", F.col("span_ord").cast("long").alias("span_ord"), "x.role", F.col("x.s").alias("s_start"), F.col("x.e").alias("s_end"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
-from ..functions.regex import matches
+from ..functions.regex import matches, to_java
+from ..functions.tokenizers import tokenize_file
 from ..functions.tokens import explode_tokens, word_tokens
 from ..session import cut
 
@@ -48,6 +50,8 @@ class TraceSet:
     #: Known to be without sequences or annotations, so that plans leave out their joins.
     no_sequences: bool = False
     no_annotations: bool = False
+    #: The tokens and the same as one array a sample (sample_id, list), as long as they are those of whole texts.
+    lists: tuple[DataFrame, DataFrame] | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, **tables: Any) -> TraceSet:
@@ -56,15 +60,20 @@ class TraceSet:
         return cls(**{**made, **known, **tables})
 
     @classmethod
-    def from_texts(cls, texts: DataFrame, tokens: Column | None = None, char_ids: bool = False) -> TraceSet:
-        """One sample a row of (sample_ord, sample_id, text), with one text over all its tokens."""
+    def from_texts(cls, texts: DataFrame, tokens: Column | None = None, char_ids: bool = False, tokenizer: str | None = None) -> TraceSet:
+        """One sample a row of (sample_ord, sample_id, text), with one text over all its tokens.
+
+        Tokens are those of the ``tokenizer`` file, of the column expression ``tokens``, or else words.
+        """
         spark = texts.sparkSession
-        rows = explode_tokens(texts, ["sample_id"], word_tokens(F.col("text")) if tokens is None else tokens, char_ids)
+        expression = word_tokens(F.col("text")) if tokens is None else tokens
+        rows = tokenize_file(texts, ["sample_id"], tokenizer) if tokenizer else explode_tokens(texts, ["sample_id"], expression, char_ids)
+        rows = rows.withColumn("extras", F.lit(None).cast("string"))
         n = rows.groupBy("sample_id").agg(F.count("*").alias("n"))
         whole = texts.join(n, "sample_id", "left").select("sample_id", F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("text_0").alias("name"), F.col("text").alias("value"), F.lit(0).cast("long").alias("start"), F.coalesce("n", F.lit(0)).cast("long").alias("end"), F.lit("{}").alias("metadata"))
         none = F.lit(None)
         samples = texts.select(F.col("sample_ord").cast("long").alias("sample_ord"), "sample_id", none.cast("string").alias("target"), none.cast("string").alias("error"), none.cast("long").alias("input_tokens"), none.cast("long").alias("output_tokens"), F.lit("{}").alias("metadata"))
-        return cls.empty(spark, samples=samples, tokens=rows.withColumn("extras", none.cast("string")), texts=whole)
+        return cls.empty(spark, samples=samples, tokens=rows, texts=whole, lists=None if tokenizer else (rows, texts.select("sample_id", expression.alias("list"))))
 
     # -- annotations and spans -------------------------------------------------------------
 
@@ -201,8 +210,33 @@ class TraceSet:
 
     def tag_by_regexes(self, tags: Iterable[tuple[str, str]], sequences: bool = True) -> TraceSet:
         """As predicates over token strings; references have no string of their own. Several patterns may share a tag."""
+        tags = list(tags)
+        if self.lists and self.lists[0] is self.tokens and self.no_annotations and self.no_sequences and all(to_java(p) is not None for p, _ in tags):
+            return self._tag_lists(tags)
         return self.tag_by_predicates([(matches(F.col("token"), p), t) for p, t in tags], on_refs=False, sequences=sequences)
 
+    def _tag_lists(self, tags: list[tuple[str, str]]) -> TraceSet:
+        """The same where each sample is a list still: islands are found inside the row, without a shuffle."""
+
+        def hits(name: str) -> Column:
+            """The positions with a hit of the name, ascending."""
+            any_of = lambda t: reduce(Column.__or__, (matches(t, p) for p, n in tags if n == name))
+            return F.filter(F.transform("list", lambda t, i: F.when(any_of(t), i.cast("long"))), lambda x: x.isNotNull())
+
+        def ranges(at: Column) -> Column:
+            """Islands of ascending positions: from those without a neighbour before to those without one behind."""
+            first = F.filter(at, lambda p, k: F.coalesce(F.get(at, k - 1) != p - 1, F.lit(True)))
+            last = F.filter(at, lambda p, k: F.coalesce(F.get(at, k + 1) != p + 1, F.lit(True)))
+            return F.zip_with(first, last, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
+
+        names = sorted({n for _, n in tags})
+        rows = self.lists[1].select("sample_id", *(hits(n).alias(f"hits{k}") for k, n in enumerate(names)))
+        # An outer explode, as an inner one has a filter made for it that evaluates all this again.
+        found = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"hits{k}").alias("at")) for k, n in enumerate(names))), lambda x: F.size(x["at"]) > 0)
+        named = rows.select("sample_id", F.posexplode_outer(found).alias("ann_ord", "x")).where("x IS NOT NULL").select("sample_id", F.col("ann_ord").cast("long").alias("ann_ord"), "x.name", "x.at")
+        spread = named.select("sample_id", "ann_ord", "name", F.explode_outer(ranges(F.col("at"))).alias("r"))
+        return replace(self, annotations=spread.select("sample_id", "ann_ord", "name", "r.start", "r.end", F.lit("{}").alias("metadata")), no_annotations=False)
+
     def tag_by_regex(self, pattern: str, tag: str, sequences: bool = True) -> TraceSet:
         return self.tag_by_regexes([(pattern, tag)], sequences)
 

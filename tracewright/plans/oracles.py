@@ -101,5 +101,13 @@ FROM documents d LEFT JOIN n ON n.sample_id = CAST(d.doc_id AS VARCHAR) LEFT JOI
     "answer_positions": f"""{WORDS}, n AS (SELECT sample_id, count(*) AS n FROM tok GROUP BY sample_id), l AS (SELECT sample_id, max(pos) AS pos FROM hit WHERE name = 'number' GROUP BY sample_id),
 r AS (SELECT pos / n AS rel FROM l JOIN n USING (sample_id)) SELECT least(3, CAST(floor(rel * 4) AS BIGINT)) AS bucket, count(*) AS n, round(avg(rel), 6) AS mean FROM r GROUP BY 1""",
     "extra_keys": "SELECT CAST(user_id AS VARCHAR) AS sample_id, key, count(*) AS n FROM (SELECT user_id, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL",
-    "clean_bundle": "SELECT '' AS rule, CAST(0 AS BIGINT) AS n WHERE false",
+    "planted_faults": f"""{WORDS}, bad AS (SELECT name, sample_id, count(*) AS n, sum("end" - "start") AS k FROM isl WHERE CAST(sample_id AS BIGINT) % 50 = 0 AND name = 'number' GROUP BY ALL)
+    SELECT 'annotation_bounds' AS rule, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_samples FROM bad HAVING count(*) > 0
+    UNION ALL SELECT 'span_bounds', CAST(sum(k) AS BIGINT), count(*) FROM bad HAVING count(*) > 0
+    UNION ALL SELECT 'text_offsets', count(*), count(*) FROM documents WHERE doc_id % 50 = 0 HAVING count(*) > 0""",
+    "tokenize_bpe": "SELECT CAST(doc_id AS VARCHAR) AS sample_id, length(text) AS n_chars, md5(text) AS digest FROM documents WHERE text <> ''",
+    "messages_to_tokens": f"WITH {MSG}, {REND} SELECT sample_id, n_messages, md5(text) AS digest FROM rend JOIN (SELECT sample_id, count(*) AS n_messages FROM msg GROUP BY sample_id) USING (sample_id)",
+    "eval_messages": """SELECT CAST(conv_id AS VARCHAR) AS sample_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, 'why ' || turn AS reasoning,
+    md5('<think>' || chr(10) || 'why ' || turn || chr(10) || '</think>' || chr(10) || text || CASE WHEN turn % 3 = 2 THEN CASE WHEN text = '' THEN '' ELSE chr(10) END || 'lookup: {"turn":' || turn || '}' ELSE '' END) AS digest FROM conversations""",
+    "eval_scores": """SELECT CAST(conv_id AS VARCHAR) AS sample_id, 'A' AS target, count(*) AS input_tokens, CAST(1 AS BIGINT) AS output_tokens, 'match' AS scorer, CAST(conv_id % 2 AS VARCHAR) AS value, 'A' AS answer FROM conversations GROUP BY conv_id""",
 }

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
+from ..functions.tokenizers import tokenize_file
 from ..functions.tokens import char_offsets, char_tokens, explode_tokens, vocabulary, word_tokens
 from ..operators import chat, sequences, summary, textmatch
 from ..operators.flat import FlatStore
 from ..operators.traces import SCORES, TraceSet
 from ..operators.validate import violations
+from ..sources import records
 
 #: Classes that all engines read alike.
 TAGS = [("^[ \t\r\n]*[0-9]+[^ \t\r\n]*$", "number"), ("^[ \t\r\n]*[A-Z]+$", "capitals"), ("^[ \t\r\n]*[A-Z][a-z]+$", "title"), ("[.,;:!?]$", "punct"), ("^[ \t\r\n]+$", "whitespace"), ("^[ \t\r\n]*[A-Da-d][.)]?$", "choice_letter"), ("[#$%&*]", "number")]
@@ -203,7 +205,7 @@ def read_samples_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def position_algebra(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions tagged punct and title but not number, and the last of them per sample."""
+    """Positions tagged punct or choice_letter but not number, and the last of them per sample."""
     ts = tagged(spark, sf)
     p, t, n = (ts.annotation_positions(x) for x in ("punct", "choice_letter", "number"))
     both = p.unionByName(t).distinct().join(n, ["sample_id", "pos"], "left_anti")
@@ -366,6 +368,70 @@ def extra_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def clean_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """Faults of the tagged bundle: none."""
-    return violations(tagged(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))
+def planted_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of the tagged bundle: those planted in every 50th document."""
+    ts = tagged(spark, sf).create_span_from_tag("number", "figures")
+    some = F.col("sample_id").cast("long") % 50 == 0
+    far = F.lit(10**9).cast("long")
+    ann = ts.annotations.withColumn("end", F.when(some & (F.col("name") == "number"), far).otherwise(F.col("end")))
+    spans = ts.spans.withColumn("position", F.when(some, -far).otherwise(F.col("position")))
+    texts = ts.texts.withColumn("start", F.when(some, far).otherwise(F.col("start")))
+    found = violations(replace(ts, annotations=ann, spans=spans, texts=texts))
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("n_samples"))
+
+
+# -- tokenizer files -----------------------------------------------------------------------
+
+
+def tokenizer_file() -> str:
+    """Where the public byte-level vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def tokenize_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Subword tokens of each document, joined again."""
+    t = tokenize_file(doc_texts(spark, sf), ["sample_id"], tokenizer_file())
+    joined = textmatch.joined_text(t)
+    return joined.select("sample_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query
+def messages_to_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations in subword tokens: the tokens of their messages, one message after the other, make up the rendering."""
+    ts = chat.chat_traces(messages(spark, sf), tokenizer=tokenizer_file())
+    at = ts.texts.select("sample_id", "path", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
+    rows = at.join(ts.tokens, ["sample_id", "pos"]).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("path", "pos", "token"))).alias("t"), F.count_distinct("path").alias("n_messages"))
+    return rows.select("sample_id", "n_messages", F.md5(F.array_join("t.token", "").cast("binary")).alias("digest"))
+
+
+# -- evaluation logs -----------------------------------------------------------------------
+
+
+def eval_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as the samples of an eval log: contents in parts, a tool call in every third turn, a score a sample."""
+    c = read(spark, sf, "conversations")
+    part = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("reasoning").alias("type"), F.concat(F.lit("why "), F.col("turn").cast("string")).alias("text")))
+    calls = F.when(F.col("turn") % 3 == 2, F.array(F.struct(F.lit("c1").alias("id"), F.lit("lookup").alias("function"), F.struct(F.col("turn").alias("turn")).alias("arguments"))))
+    m = c.select("conv_id", F.struct("turn", "role", part.alias("content"), calls.alias("tool_calls")).alias("m"))
+    rows = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    kept = F.transform("ms", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_calls"].alias("tool_calls")))
+    score = F.struct(F.struct((F.col("conv_id") % 2).alias("value"), F.lit("A").alias("answer")).alias("match"))
+    sample = F.struct(F.col("conv_id").alias("id"), kept.alias("messages"), score.alias("scores"), F.lit("A").alias("target"), F.struct(F.size("ms").alias("input_tokens"), F.lit(1).alias("output_tokens")).alias("usage"))
+    return rows.select(F.col("conv_id").alias("ord"), F.to_json(sample).alias("json"))
+
+
+@query
+def eval_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of the log's samples with reasoning and tool calls, as they are rendered."""
+    m = records.whole_content(records.project(eval_samples(spark, sf), "messages"))
+    return m.select("sample_id", "turn", "role", "reasoning", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query
+def eval_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = eval_samples(spark, sf)
+    s = records.project(rows, "samples").select("sample_id", "target", "input_tokens", "output_tokens")
+    return s.join(records.project(rows, "scores"), "sample_id").select("sample_id", "target", "input_tokens", "output_tokens", "scorer", "value", "answer")

@@ -7,7 +7,6 @@ function run in Arrow batches, since JSON text has to be written as Python write
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from datetime import datetime
 from typing import Any
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranges import running_sum
+
 PROVIDERS = frozenset("openai anthropic google mistral cohere deepseek groq fireworks together perplexity replicate ollama vllm hf huggingface vertex bedrock azureml mockllm".split())
 
 
@@ -138,6 +139,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(listed).alias("ord", "v")).select(F.col("ord").cast("long").alias("ord"), F.to_json("v").alias("json"))
 
 
+def read_eval_log(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
+    """The samples (ord, json) of an eval log {eval, plan, stats, samples} and the document's metadata; samples are not collected."""
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    parts = {k: F.to_json(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in ("eval", "plan", "stats")}
+    head = whole.select(*parts.values()).first()
+    if head is None or head["eval"] is None:
+        raise ValueError(f"{path} is no eval log")
+    samples = F.coalesce(F.try_variant_get("v", "$.samples", "array<variant>"), F.array().cast("array<variant>"))
+    rows = whole.select(F.posexplode(samples).alias("ord", "v")).select(F.col("ord").cast("long").alias("ord"), F.to_json("v").alias("json"))
+    return rows, log_metadata({k: json.loads(head[k]) for k in parts if head[k]})
+
+
+def whole_content(messages: DataFrame) -> DataFrame:
+    """``messages`` whose content holds the reasoning before it and the tool calls after it, as they are rendered."""
+    section = F.when(F.col("tool_calls").isNotNull(), F.array_join(F.transform(F.from_json("tool_calls", "array<struct<name:string,arguments:string>>"), lambda c: F.concat(F.coalesce(c["name"], F.lit("")), F.lit(": "), F.coalesce(c["arguments"], F.lit("null")))), "\n"))
+    content = F.coalesce("content", F.lit(""))
+    thought = F.when(F.coalesce("reasoning", F.lit("")) != "", F.concat(F.lit("<think>\n"), "reasoning", F.lit("\n</think>\n"))).otherwise(F.lit(""))
+    called = F.when(F.coalesce(section, F.lit("")) == "", content).when(content == "", section).otherwise(F.concat(content, F.lit("\n"), section))
+    return messages.withColumn("content", F.concat(thought, called))
+
+
 MESSAGES = "sample_ord long, sample_id string, turn long, role string, content string, reasoning string, tool_calls string"
 
 
@@ -178,18 +200,22 @@ def project(records: DataFrame, kind: str) -> DataFrame:
     return records.select("ord", "json").mapInPandas(_project(kind), schema)
 
 
-def records_to_traces(records: DataFrame, min_length: int = 5, dedup: bool = True, roles: bool = True, generated: bool = True, logprobs: bool = True):
-    """A bundle of records: rendered and tokenized, the reply and its logprobs marked before runs collapse, roles after."""
+def records_to_traces(records: DataFrame, min_length: int = 5, dedup: bool = True, roles: bool = True, generated: bool = True, logprobs: bool = True, metadata: dict[str, Any] | None = None, tokenizer: str | None = None):
+    """A bundle of records: rendered with reasoning and tool calls, tokenized, the reply and its logprobs marked before runs collapse, roles after.
+
+    Without a ``tokenizer`` file each character is a token.
+    """
     from dataclasses import replace
 
     from ..operators import chat
     from ..session import cut
 
-    m = cut(project(records, "messages"))
-    base = chat.chat_traces(m.drop("reasoning", "tool_calls"))
-    ts = replace(base, samples=project(records, "samples"), scores=project(records, "scores")).cut()
+    plain = cut(project(records, "messages"))
+    m = whole_content(plain).drop("reasoning", "tool_calls")
+    base = chat.chat_traces(m, tokenizer=tokenizer)
+    ts = replace(base, metadata=metadata or base.metadata, samples=project(records, "samples"), scores=project(records, "scores")).cut()
     if generated:
-        ts = chat.tag_generated(ts, m)
+        ts = chat.tag_generated(ts, plain, chat.render(m))
         if logprobs:
             ts = ts.attach_logprobs(project(records, "logprobs"))
         ts = ts.cut()
@@ -203,11 +229,6 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> D
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("sample_id"), F.col("value").alias("text"))
     if files.isEmpty():
         raise ValueError(f"no file matches {pattern} in {path}")
-    from pyspark.sql import Window
-
-    names = files.select("sample_id").withColumn("sample_ord", (F.row_number().over(Window.orderBy("sample_id")) - 1).cast("long"))
+    names = running_sum(files.select("sample_id"), ["sample_id"], F.lit(1), "k").select("sample_id", (F.col("k") - 1).cast("long").alias("sample_ord"))
     return files.join(names, "sample_id").select("sample_ord", "sample_id", "text")
 
-
-def tool_section(calls: str | None) -> str:
-    return "" if not calls else re.sub(r"\s+$", "", "\n".join(f"{c.get('name')}: {json.dumps(c.get('arguments'), ensure_ascii=False)}" for c in json.loads(calls)))
