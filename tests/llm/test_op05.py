@@ -76,3 +76,24 @@ def test_ids_of_several_texts(spark):
     rows = [("5", " ".join(a)), ("5", " ".join(b)), ("8", " ".join([*a[:-1], "x"])), ("9", " ".join([*b[:-1], "y"])), ("7", " ".join(words("c")))]
     got = sorted((r.doc_id, r.component_id, r.kept) for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
     assert got == [("5", "5", True), ("5", "5", True), ("7", "7", True), ("8", "5", False), ("9", "5", False)]
+
+
+def test_no_ids_go_through_the_driver(spark, monkeypatch):
+    """The ids of candidates are neither broadcast nor collected; a filter that lets nearly all rows through changes nothing."""
+
+    def refuse(df):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(op.F, "broadcast", refuse)
+    monkeypatch.setattr(op, "MIN_BITS", 64, raising=False)
+    monkeypatch.setattr(op, "MAX_BITS", 64, raising=False)
+    rows = corpus(6)
+    got = {r.doc_id: tuple(r)[1:] for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_sieve_keeps_members(spark):
+    rows = spark.range(30_000).selectExpr("concat('d', id) AS name", "id")
+    bits = op.sieve(rows.where("id % 10 = 0"), "name")
+    kept = {r.id for r in op.sift(rows, "name", bits, ["id"]).collect()}
+    assert set(range(0, 30_000, 10)) <= kept and len(kept) < 5_000 and bits.nbytes == 8192
