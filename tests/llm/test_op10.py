@@ -63,3 +63,18 @@ def test_whole_licence_files(spark):
 def test_very_long_text(spark):
     got, _ = scan(spark, [(1, "word " * 60_000 + "\nReleased under the MIT License.\n" + "line\n" * 30_000, "a/1"), (2, "", "a/2")])
     assert got == {(1, "a/1"): ("MIT", "header"), (2, "a/2"): (None, "none")}
+
+
+def test_disk_is_freed_as_soon_as_possible(spark, monkeypatch):
+    saved, save = {}, op.Scratch.save
+
+    def watched(self, df, name, free=False):
+        import os
+
+        saved[name] = (free, sorted(n for n in saved if os.path.exists(self.path(n).removeprefix("file:"))))
+        return save(self, df, name, free)
+
+    monkeypatch.setattr(op.Scratch, "save", watched)
+    assert scan(spark, ROWS)[1] == len(ROWS)
+    assert all(saved[n][0] for n in ("units", "weighed", "found", "own"))
+    assert saved["found"][1] == ["weighed"] and saved["own"][1] == ["found"]

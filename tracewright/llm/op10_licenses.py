@@ -85,14 +85,16 @@ def license_units(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     weights = spark.createDataFrame([(w, x) for w, x in idf.items()], "w string, idf double")
     sizes = [math.sqrt(sum((f * idf[w]) ** 2 for w, f in _terms(t).items())) for _, t in TEMPLATES]
-    templates = spark.createDataFrame([(i, TEMPLATES[i][0], w, f * idf[w] / sizes[i]) for i, (_, t) in enumerate(TEMPLATES) for w, f in _terms(t).items()], "template int, license string, w string, weight double")
+    templates = spark.createDataFrame([(i, w, f * idf[w] / sizes[i]) for i, (_, t) in enumerate(TEMPLATES) for w, f in _terms(t).items()], "template int, w string, weight double")
     # Both tables are as small as TEMPLATES.
     weighed = scratch.save(tf.join(F.broadcast(weights), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other))), "weighed", free=True)
+    scratch.drop("units")
     norm = weighed.groupBy("key", "kind", "i").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = weighed.join(F.broadcast(templates), "w").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dot = weighed.join(F.broadcast(templates), "w").groupBy(*unit, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dot.join(norm, ["key", "kind", "i"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
-    best = scored.groupBy("key").agg(F.min(F.struct(F.round(-F.col("dot"), 3).alias("mass"), (-F.col("score")).alias("minus"), "kind", "i", "template", "license", "n_unit", "n_all")).alias("b"))
-    return best.select("key", "b.license", (-F.col("b.minus")).alias("score"), "b.n_unit", "b.n_all")
+    best = scored.groupBy("key").agg(F.min(F.struct(F.round(-F.col("dot"), 3).alias("mass"), (-F.col("score")).alias("minus"), "kind", "i", "template", "n_unit", "n_all")).alias("b"))
+    license = F.element_at(F.array(*(F.lit(name) for name, _ in TEMPLATES)), F.col("b.template") + 1)
+    return best.select("key", license.alias("license"), (-F.col("b.minus")).alias("score"), "b.n_unit", "b.n_all")
 
 
 def scan_licenses(docs: DataFrame, path: Column) -> DataFrame:
@@ -107,12 +109,13 @@ def scan_licenses(docs: DataFrame, path: Column) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "licenses")
     base = docs.select(F.col("doc_id"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     parts = [x for c in ("doc_id", "path", "text") for x in (F.col(c).isNull(), F.col(c))]
-    base = base.withColumn("key", F.concat(F.hex(F.xxhash64(F.lit(1), *parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), *parts[::-1]))))
-    found = scratch.save(license_units(base.where("text IS NOT NULL").select("key", "text"), scratch), "found")
+    base = base.withColumn("key", F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts[::-1]).alias("h2")))
+    found = scratch.save(license_units(base.where("text IS NOT NULL").select("key", "text"), scratch), "found", free=True)
     is_file = (F.col("n_unit") * 100 >= FILE_PERCENT * F.col("n_all")) | F.coalesce(F.lower("path").rlike(FILE_NAME), F.lit(False))
     own = base.drop("text").join(found, "key", "left").withColumn("file", F.col("license").isNotNull() & is_file).drop("n_unit", "n_all")
-    own = scratch.save(own, "own")
-    scratch.drop("units", "weighed", "found")
+    scratch.drop("weighed")
+    own = scratch.save(own, "own", free=True)
+    scratch.drop("found")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     speaks = own.where("file AND path IS NOT NULL").groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
     speaks = scratch.save(speaks.select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.minus")).alias("dir_score")), "speaks")
