@@ -75,3 +75,18 @@ def test_query(spark):
     ids, decoded = library(docs.text.tolist())
     want = {d: (len(i), hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, i, t in zip(docs.doc_id, ids, decoded)}
     assert {r.doc_id: tuple(r)[1:] for r in op.op1_lexicon_bpe(spark, sf).collect()} == want
+
+
+def test_plain_texts_load_no_library():
+    bpe = op.WordBpe(PATH)
+    assert bpe.words("Plain text, l'été") and "_library" not in vars(bpe)
+    assert bpe.words("日本語") and "_library" in vars(bpe)
+
+
+def test_memory_is_released_as_a_task_ends(monkeypatch):
+    from tracewright.llm import memory
+
+    done = []
+    monkeypatch.setattr(memory, "release", lambda: done.append(1))
+    rows = memory.freed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(rows) == 2 and not done and list(rows) == [3] and done == [1]

@@ -19,7 +19,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import freed
 from .scratch import Scratch, table
 
 #: Most words in the lexicon, so the most that reach the driver; and steps of the counts' histogram per doubling.
@@ -59,16 +60,14 @@ class WordBpe:
     """Words, merges and token strings of a tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.letters = _byte_letters()
-        #: (left id, right id) to (rank, id of both together)
-        self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
-        self._pair = {x << 24 | y: r << 24 | new for (x, y), (r, new) in self.merges.items()}
+        #: left id and right id to rank and id of both together
+        self._pair = {self.vocab[a] << 24 | self.vocab[b]: r << 24 | self.vocab[a + b] for r, (a, b) in enumerate(merges)}
         self._plain_ids = [self.vocab[c] for c in self.letters]
         self._end_ids = [self.vocab[c + WORD_END] for c in self.letters]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -76,9 +75,15 @@ class WordBpe:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self._split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._library = Tokenizer.from_file(path)
         self._back = {c: b for b, c in enumerate(self.letters)}
 
+    @cached_property
+    def _library(self):
+        """Loaded by the first unusual text."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def words(self, text: str) -> list[str]:
         """The normalised words of a text; a special token is a word of its own, marked by a NUL before and after."""
         if self._split and "<|" in text:
@@ -121,8 +126,8 @@ class WordBpe:
         """The same with a heap, for words of any length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
-        heap = [(r, i, new, x, y) for r, new, i, x, y in heap]
+        get = self._pair.get
+        heap = [(m >> 24, i, m & 0xFFFFFF, x, y) for i, (x, y) in enumerate(zip(ids, ids[1:])) if (m := get(x << 24 | y)) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, new, x, y = heapq.heappop(heap)
@@ -132,10 +137,10 @@ class WordBpe:
             ids[i], ids[j], after[i] = new, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if m := self.merges.get((new, ids[after[j]])):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[after[j]]))
-            if (k := before[i]) >= 0 and (m := self.merges.get((ids[k], new))):
-                heapq.heappush(heap, (m[0], k, m[1], ids[k], new))
+                if (m := get(new << 24 | ids[after[j]])) is not None:
+                    heapq.heappush(heap, (m >> 24, i, m & 0xFFFFFF, new, ids[after[j]]))
+            if (k := before[i]) >= 0 and (m := get(ids[k] << 24 | new)) is not None:
+                heapq.heappush(heap, (m >> 24, k, m & 0xFFFFFF, ids[k], new))
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -315,7 +320,7 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_SIZE) -> str |
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lexicon")
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(path), "word string, n long")
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(freed(_count(path)), "word string, n long")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
     counts = scratch.save(counts, "counts", free=True)
     total, least = 0, None
@@ -381,7 +386,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False, lexi
     name = build_lexicon(docs, path, lexicon_size)
     texts = docs.select(*keep, F.col("text").cast("string").alias("bpe_text"))
     kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
-    return texts.mapInArrow(_encode(path, name, decoded, keep), ", ".join(filter(None, [kinds, "ids binary"])) + ", decoded string" * decoded)
+    return texts.mapInArrow(freed(_encode(path, name, decoded, keep)), ", ".join(filter(None, [kinds, "ids binary"])) + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
+from .memory import freed
 from .scratch import table
 
 #: With one substitution in any five words, or two in any ten to thirteen, one of these still reads four right ones,
@@ -163,7 +164,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for i, index in enumerate(_blocks(benchmark)):
-        found = texts.mapInArrow(_find(index, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
+        found = texts.mapInArrow(freed(_find(index, to_arrow_type(benchmark.schema["item_id"].dataType))), schema)
         out = out.unionByName(found) if i else found
     return out
 
@@ -171,7 +172,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text overlaps no item; same columns."""
     for index in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(index), docs.schema)
+        docs = docs.mapInArrow(freed(_clean(index)), docs.schema)
     return docs
 
 
