@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tracewright.llm import op04_runindex as op
@@ -91,3 +92,25 @@ def test_query_digest(spark, tmp_path):
     rows = {r.doc_id: r for r in op.op4_runindex(spark, str(tmp_path)).collect()}
     assert rows[0].kept_sha256 == hashlib.sha256(texts[0].encode()).hexdigest()
     assert tuple(rows[1])[:4] == (1, 0, 0, 0)
+
+
+def test_index_where_following_strings_are_alike():
+    r = random.Random(8)
+    missed = 0
+    for _ in range(40):
+        pool = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(80, 180))) for _ in range(4)]
+        strings = []
+        for _ in range(24):  # tails alike, and after them strings alike: together over 512 bytes
+            s = b"".join(r.choice(pool) for _ in range(2))
+            strings.append(s + bytes([r.choice(b"xyz")]) * r.randint(0, 1))
+        strings = [s for s in strings if len(s) >= 200]
+        index = op.RunIndex(strings)
+        of, first, last = index.hits(np.arange(len(strings)), 200)
+        have = {(k, i) for k, s, e in zip(of.tolist(), first.tolist(), last.tolist()) for i in range(s, e - 199)}
+        seen = Counter(s[i : i + 200] for s in strings for i in range(len(s) - 199))
+        want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - 199) if seen[s[i : i + 200]] > 1}
+        missed += have != want
+        for k, s in enumerate(strings):
+            ms = index.matching_statistics(int(index.starts[k]), len(s) - 199)
+            assert {i for i in range(len(s) - 199) if ms[i] >= 200} == {i for j, i in want if j == k}
+    assert not missed

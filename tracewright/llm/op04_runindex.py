@@ -31,7 +31,7 @@ from .scratch import Scratch, table
 
 WIDTH, GRAM = 200, 56
 HOT = 2_000
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 16
 SEPARATOR = 0xFF  # in no UTF-8 text
 _POSITION = (1 << 20) - 1
 
@@ -127,19 +127,38 @@ class RunIndex:
         joined.append(SEPARATOR)
         text = np.frombuffer(bytes(joined), np.uint8)
         n = self.n = len(text)
-        packed = np.zeros(n, np.uint64)
+        # Separators differ from one another (in order of place), so no comparison goes on into the next string.
+        packed, going = np.zeros(n, np.uint64), np.ones(n, np.uint64)
         for j in range(8):
-            packed[: n - j] |= text[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
+            packed[: n - j] |= going[: n - j] * text[j:] << np.uint64(56 - 8 * j)
+            going[: n - j] *= text[j:] != SEPARATOR
+        ends = going == 0
+        ends[max(0, n - 8) :] = True
         self._packed = packed
-        self._ranks = {8: np.unique(packed, return_inverse=True)[1].astype(np.int64)}
+        order = np.argsort(packed, kind="stable")
+        new = ends[order] | np.append(True, packed[order[1:]] != packed[order[:-1]])
+        rank = np.empty(n, np.int32)
+        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # the place of the first of its equals
+        self._ranks = {8: rank}
+        open_ = order[~(new & np.append(new[1:], True))]  # only suffixes that have equals are sorted on, by rank
         size = 8
         while size < 512:
-            rank = self._ranks[size]
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - size)] = rank[size:] + 1
-            self._ranks[2 * size] = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+            rank = rank.copy()
+            if len(open_):
+                after = np.zeros(len(open_), np.int64)
+                inside = open_ + size < n
+                after[inside] = self._ranks[size][open_[inside] + size] + 1
+                old = rank[open_].astype(np.int64)
+                by = np.argsort(old * (n + 1) + after)
+                open_, old, after = open_[by], old[by], after[by]
+                group = np.append(True, old[1:] != old[:-1])
+                new = group | np.append(True, after[1:] != after[:-1])
+                first = np.flatnonzero(group)[np.cumsum(group) - 1]
+                rank[open_] = old + np.flatnonzero(new)[np.cumsum(new) - 1] - first
+                open_ = open_[~(new & np.append(new[1:], True))]
             size *= 2
-        order = np.argsort(self._ranks[512], kind="stable")
+            self._ranks[size] = rank
+        order[rank] = np.arange(n)
         symbol = text[order - 1].astype(np.int64)
         begins = np.zeros(n, bool)
         begins[self.starts] = True
@@ -151,9 +170,12 @@ class RunIndex:
         tail = np.append(head[1:], True)
         rows = np.flatnonzero(head)
         self.runs = len(rows)
-        self._before = self._samples(order[rows], np.where(rows > 0, order[rows - 1], -1))
+        before = self._samples(order[rows], np.where(rows > 0, order[rows - 1], -1))
         rows = np.flatnonzero(tail)
-        self._behind = self._samples(order[rows], np.where(rows < n - 1, order[np.minimum(rows + 1, n - 1)], -1))
+        behind = self._samples(order[rows], np.where(rows < n - 1, order[np.minimum(rows + 1, n - 1)], -1))
+        self._longest = np.zeros(n, np.int64)
+        for where, common in (before, behind):
+            np.maximum(self._longest, np.repeat(common + where, np.diff(np.append(where, n))) - np.arange(n), out=self._longest)
 
     def _samples(self, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         common = self._common(at, np.maximum(other, 0))
@@ -171,19 +193,26 @@ class RunIndex:
             same = inside & (rank[np.minimum(i, self.n - 1)] == rank[np.minimum(j, self.n - 1)])
             total[same] += size
         i, j = np.minimum(x + total, self.n - 1), np.minimum(y + total, self.n - 1)
-        differ = self._packed[i] ^ self._packed[j]
+        differ = self._packed[i] ^ self._packed[j]  # may count the bytes from a separator on; no window reaches there
         for k in range(7):
             total += (differ >> np.uint64(56 - 8 * k)) == 0
         return np.minimum(total, self.n - np.maximum(x, y))
 
     def matching_statistics(self, start: int, length: int) -> np.ndarray:
         """Longest match, elsewhere in the index, of the suffix at each position, streamed from the samples."""
-        at = np.arange(start, start + length)
-        best = np.zeros(length, np.int64)
-        for where, common in (self._before, self._behind):
-            k = np.searchsorted(where, at, "right") - 1
-            best = np.maximum(best, common[k] - (at - where[k]))
-        return best
+        return self._longest[start : start + length]
+
+    def hits(self, chosen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """String, start and end of each maximal part of the chosen strings that ``width`` bytes or more repeat, as by ``matching_statistics``."""
+        size = np.diff(np.append(self.starts, self.n)) - 1
+        step = np.zeros(self.n + 1, np.int32)
+        chosen = chosen[size[chosen] >= width]
+        step[self.starts[chosen]] = 1
+        step[self.starts[chosen] + size[chosen] - width + 1] = -1
+        hit = (np.cumsum(step[:-1]) > 0) & (self._longest >= width)
+        first, last = _spans(hit, width)
+        of = np.searchsorted(self.starts, first, "right") - 1
+        return of, first - self.starts[of], last - self.starts[of]
 
 
 def _spans(hit: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +222,9 @@ def _spans(hit: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _index_block(rows: list[tuple], width: int) -> pa.RecordBatch:
     index = RunIndex([r[3] for r in rows])
-    rid, s, e = [], [], []
-    for (_, r, a, context, single), start in zip(rows, index.starts.tolist()):
-        if single:
-            first, last = _spans(index.matching_statistics(start, len(context) - width + 1) >= width, width)
-            rid += [r] * len(first)
-            s += (first + a).tolist()
-            e += (last + a).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["rid", "s", "e"])
+    of, first, last = index.hits(np.flatnonzero([r[4] for r in rows]), width)
+    a = np.array([r[2] for r in rows], np.int64)[of]
+    return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in of.tolist()], pa.binary()), pa.array(first + a, pa.int32()), pa.array(last + a, pa.int32())], ["rid", "s", "e"])
 
 
 def _match(width: int):
