@@ -42,7 +42,8 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.col("island") - 1).cast("long").alias("range_ord"), "start", "end")
 
 
-def ranges_to_positions(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos): the distinct positions covered; an empty or reversed range covers none."""
+def ranges_to_positions(ranges: DataFrame, keys: list[str], merged: bool = False) -> DataFrame:
+    """(keys, pos): the distinct positions covered; an empty or reversed range covers none. ``merged`` ranges don't overlap, so nothing is shuffled."""
     spread = F.explode(F.when(F.col("start") < F.col("end"), F.sequence(F.col("start"), F.col("end") - 1)).otherwise(F.array().cast("array<bigint>")))
-    return ranges.select(*keys, spread.alias("pos")).distinct()
+    spelled = ranges.select(*keys, spread.alias("pos"))
+    return spelled if merged else spelled.distinct()

@@ -101,3 +101,27 @@ def tokenize_file(texts: DataFrame, keys: list[str], path: str) -> DataFrame:
     """(keys, pos, id, token) of texts (keys, text) by the tokenizer file, which all hosts can read. Null and empty texts have none."""
     kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
     return texts.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(_run(path, keys), f"{kinds}, pos long, id long, token string")
+
+
+def _run_lists(path: str, keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = resolve(path)
+        for batch in batches:
+            texts, begin, ids, tokens, size = batch.column("text"), 0, [], [], 0
+            for r in range(len(texts)):
+                text = texts[r].as_py()
+                found, strings = tokenizer.encode(text) if text else ([], [])
+                ids.append(found)
+                tokens.append(strings)
+                size += len(found)
+                if size > 100_000 or r == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(begin, len(ids)) for k in keys), pa.array(ids, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.string()))], [*keys, "ids", "list"])
+                    begin, ids, tokens, size = r + 1, [], [], 0
+
+    return run
+
+
+def tokenize_lists(texts: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """(keys, ids, list): the same with one row a text, which keeps what belongs together in its row."""
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    return texts.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(_run_lists(path, keys), f"{kinds}, ids array<bigint>, list array<string>")

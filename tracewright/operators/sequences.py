@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists as L
 from ..session import cut
 from .traces import TraceSet
 
@@ -28,22 +29,36 @@ def common_ngrams(grams: DataFrame, samples: int, key: str = "sample_id") -> Dat
     return grams.groupBy("gram").agg(F.count_distinct(key).alias("k")).where(F.col("k") == samples).select("gram")
 
 
-def shared_run_lengths(tokens: DataFrame, first: str, samples: int, n: int, key: str = "sample_id") -> DataFrame:
+def least_sample(lists: L.Lists) -> list[str]:
+    """The tokens of the sample with the fewest, the first such by id; what all samples share stands in it."""
+    sized = lists.rows.select("sample_id", F.size(lists.list).alias("n"))
+    least = sized.agg(F.min_by("sample_id", F.struct("n", "sample_id")).alias("s")).first().s
+    return tokens_of(lists, least)
+
+
+def tokens_of(lists: L.Lists, sample: str | None) -> list[str]:
+    row = lists.rows.where(F.col("sample_id") == sample).select(lists.list.alias("list")).first()
+    return list(row.list or []) if row else []
+
+
+def ngram_intersection(lists: L.Lists, samples: int, n: int) -> DataFrame:
+    """(gram): the n-grams in every one of ``samples`` samples. One sample's are sought in all others; no other n-gram leaves its row."""
+    found = L.common_ngrams(lists, least_sample(lists), n, SEP)
+    return found.groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("k") == samples).select("gram")
+
+
+def shared_run_lengths(tokens: DataFrame, first: str, samples: int, n: int, key: str = "sample_id", lists: L.Lists | None = None) -> DataFrame:
     """(pos, len): for each start in the sample ``first``, how far its tokens stand in every other sample too.
 
-    On a diagonal (place there minus place here) consecutive common n-grams form islands; from a
-    start the run in one sample is the longest island left on any of its diagonals, and the shared run is the least
-    over the samples. Only common n-grams meet in the join.
+    What is left of a run over the samples of a part of the table is all that leaves the part: the starts that stand in
+    all its samples, each with its shortest length.
     """
-    grams = ngrams(tokens, n, key)
-    hot = grams.join(common_ngrams(grams, samples, key), "gram", "left_semi")
-    mine = hot.where(F.col(key) == first).select("gram", F.col("pos").alias("i"))
-    hits = hot.where(F.col(key) != first).join(mine, "gram").select(key, "i", (F.col("pos") - F.col("i")).alias("d"))
-    w = Window.partitionBy(key, "d").orderBy("i")
-    islands = hits.withColumn("run", F.col("i") - F.row_number().over(w))
-    ends = islands.withColumn("reach", F.max("i").over(Window.partitionBy(key, "d", "run")) - F.col("i") + n)
-    each = ends.groupBy(key, "i").agg(F.max("reach").alias("reach"))
-    return each.groupBy("i").agg(F.min("reach").alias("len"), F.count("*").alias("k")).where(F.col("k") == samples - 1).select(F.col("i").alias("pos"), "len")
+    lists = lists or L.Lists.of(tokens.withColumnRenamed(key, "sample_id"))
+    row = lists.rows.where(F.col("sample_id") == first).select(lists.list.alias("list"), (F.lit(None) if lists.pos is None else lists.pos).alias("pos")).first()
+    mine = list(row.list or []) if row else []
+    found = L.shared_runs(lists, first, mine, n).groupBy("i").agg(F.min("len").alias("len"), F.sum("k").alias("k")).where(F.col("k") == samples - 1)
+    at = F.col("i") if lists.pos is None or not mine or list(row.pos) == list(range(len(mine))) else F.element_at(F.array(*map(F.lit, row.pos)), (F.col("i") + 1).cast("int"))
+    return found.select(at.cast("long").alias("pos"), "len")
 
 
 def maximal_runs(runs: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
@@ -107,6 +122,48 @@ def _collapse(sequences: list[tuple[str, list[str], list[int]]]):
     return run
 
 
+def _named(runs: list[tuple[int, list[str]]], words: list[str], ids: list[int], taken: set[str]) -> list[tuple[str, list[str], list[int]]]:
+    """Names, strings and ids of the maximal runs, the ids from where a run stands first."""
+    fresh, number = [], 0
+    for _, run in maximal_runs(runs):
+        at = next((i for i in range(len(words) - len(run) + 1) if words[i] == run[0] and words[i : i + len(run)] == run), None)
+        if at is None:
+            continue
+        while f"seq_{number}" in taken:
+            number += 1
+        name = f"seq_{number}"
+        taken.add(name)
+        fresh.append((name, run, ids[at : at + len(run)]))
+    return fresh
+
+
+def _deduplicate_lists(ts: TraceSet, first: str, k: int, min_length: int) -> TraceSet:
+    """The same where each sample is a list still and nothing is annotated: runs are sought and replaced inside the rows."""
+    lists = ts.listed
+    row = lists.rows.where(F.col("sample_id") == first).select(lists.list.alias("list"), lists.ids.alias("ids")).first()
+    words, ids = list(row.list or []), list(row.ids or [])
+    if k == 1:
+        runs = [(0, words)] if len(words) >= min_length else []
+    else:
+        runs = [(r.pos, words[r.pos : r.pos + r.len]) for r in shared_run_lengths(ts.tokens, first, k, min_length, lists=lists).collect()]
+    fresh = _named(runs, words, ids, {r.seq_id for r in ts.sequences.select("seq_id").collect()})
+    if not fresh:
+        return ts
+    known = {n: (strings, numbers) for n, strings, numbers in fresh}
+    out = ts._with_lists(L.Lists(L.replaced(lists, known), F.col("list"), F.col("ids"), sequences=known))
+    return _with_sequences(ts, out, fresh)
+
+
+def _with_sequences(ts: TraceSet, out: TraceSet, fresh: list[tuple[str, list[str], list[int]]]) -> TraceSet:
+    """``out`` with the sequences of ``ts`` and the fresh ones behind them."""
+    spark = ts.tokens.sparkSession
+    last = ts.sequences.agg(F.max("seq_ord")).first()[0]
+    base = 0 if last is None else last + 1
+    seqs = spark.createDataFrame([(base + i, f[0]) for i, f in enumerate(fresh)], "seq_ord long, seq_id string")
+    seq_tokens = spark.createDataFrame([(f[0], i, t, s) for f in fresh for i, (s, t) in enumerate(zip(f[1], f[2]))], "seq_id string, seq_pos long, id long, token string")
+    return replace(out, sequences=ts.sequences.unionByName(seqs), sequence_tokens=ts.sequence_tokens.unionByName(seq_tokens), no_sequences=False)
+
+
 def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     """A bundle in which runs of ``min_length`` tokens or more shared by all samples are references.
 
@@ -116,12 +173,14 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     """
     if min_length < 1:
         return ts
-    clean = cut(_clean(ts))
     order = ts.samples.select("sample_id", "sample_ord")
     k = order.count()
     if not k:
         return ts
     first = order.orderBy("sample_ord").first().sample_id
+    if ts._plain and not ts.listed.sequences:
+        return _deduplicate_lists(ts, first, k, min_length)
+    clean = cut(_clean(ts))
     # The first sample alone comes to the driver, as naming and maximality are decided on it.
     mine = [(r.token, r.native, r.kind) for r in clean.where(F.col("sample_id") == first).orderBy("pos").collect()]
     words = [m[0] for m in mine]
@@ -131,20 +190,10 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
         runs = [(r.pos, words[r.pos : r.pos + r.len]) for r in shared_run_lengths(clean, first, k, min_length).collect()]
     ids = {r.pos: r.id for r in ts.tokens.where((F.col("sample_id") == first) & F.col("id").isNotNull()).select("pos", "id").collect()}
     taken = {r.seq_id for r in ts.sequences.select("seq_id").collect()}
-    fresh, number = [], 0
-    plain = [(m[0], m[1]) for m in mine if m[2]]
-    for _, run in maximal_runs(runs):
-        at = next((i for i in range(len(plain) - len(run) + 1) if [p[0] for p in plain[i : i + len(run)]] == run), None)
-        if at is None:
-            continue
-        while f"seq_{number}" in taken:
-            number += 1
-        name = f"seq_{number}"
-        taken.add(name)
-        fresh.append((name, run, [ids[plain[at + j][1]] for j in range(len(run))]))
+    plain = [(m[0], ids[m[1]]) for m in mine if m[2]]
+    fresh = _named(runs, [p[0] for p in plain], [p[1] for p in plain], taken)
     if not fresh:
         return ts
-    spark = ts.tokens.sparkSession
     old = ts.sequence_tokens.orderBy("seq_id", "seq_pos").collect()
     known: dict[str, tuple[list[str], list[int]]] = {}
     for r in old:
@@ -164,8 +213,4 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     pieces = moved.select("sample_id", "pos", "start", F.lit(1).cast("long").alias("len"), F.lit(False).alias("expanded"))
     out = ts._remap(tokens, pieces)
     out = replace(out, spans=out.spans.distinct())
-    last = ts.sequences.agg(F.max("seq_ord")).first()[0]
-    base = 0 if last is None else last + 1
-    seqs = spark.createDataFrame([(base + i, f[0]) for i, f in enumerate(fresh)], "seq_ord long, seq_id string")
-    seq_tokens = spark.createDataFrame([(f[0], i, t, s) for f in fresh for i, (s, t) in enumerate(zip(f[1], f[2]))], "seq_id string, seq_pos long, id long, token string")
-    return replace(out, sequences=ts.sequences.unionByName(seqs), sequence_tokens=ts.sequence_tokens.unionByName(seq_tokens), no_sequences=False)
+    return _with_sequences(ts, out, fresh)

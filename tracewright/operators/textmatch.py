@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists as L
 from ..functions.tokens import char_offsets
 
 
@@ -35,17 +37,29 @@ def text_matches(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("sample_id", "text").mapInArrow(run, "sample_id string, m long, m_start long, m_end long")
 
 
-def overlapping(tokens: DataFrame, pattern: str, mode: str = "all") -> DataFrame:
-    """(sample_id, pos) of the tokens that overlap a match: ``all``, or each match's ``first`` or ``last``."""
+def overlapping(tokens: DataFrame, pattern: str, mode: str = "all", lists: L.Lists | None = None) -> DataFrame:
+    """(sample_id, pos) of the tokens that overlap a match: ``all``, or each match's ``first`` or ``last``; by Python's engine.
+
+    Matches and tokens meet inside the sample's row, so every token is read once.
+    """
     if mode not in ("all", "first", "last"):
         raise ValueError(f"mode {mode!r} is none of all, first, last")
-    found = text_matches(joined_text(tokens), pattern)
-    placed = char_offsets(tokens.select("sample_id", "pos", "token"), ["sample_id"])
-    hits = placed.join(found, "sample_id").where("c_end > m_start AND c_start < m_end")
-    if mode != "all":
-        pick = F.min("pos") if mode == "first" else F.max("pos")
-        hits = hits.groupBy("sample_id", "m").agg(pick.alias("pos"))
-    return hits.select("sample_id", "pos").distinct()
+    compiled = re.compile(pattern)
+
+    def each(batch: pa.RecordBatch, b: L.Batch) -> Iterator[tuple]:
+        for r in range(len(b.names)):
+            text, found, offsets = b.text(r), [], None
+            for m in compiled.finditer(text):
+                if m.end() > m.start():
+                    offsets = offsets or b.offsets(r)
+                    first, last = L.overlapped(*offsets, m.start(), m.end())
+                    if first < last:
+                        found.append(np.arange(first, last) if mode == "all" else [first if mode == "first" else last - 1])
+            if found:
+                at = np.unique(np.concatenate(found))
+                yield b.names.take(pa.array(np.full(len(at), r))), b.positions(r, at)
+
+    return L.mapped((lists or L.Lists.of(tokens)).table(), each, "sample_id string, pos long")
 
 
 def containing_role(tokens: DataFrame, spans: DataFrame, fallback: str = "template") -> DataFrame:
@@ -56,6 +70,18 @@ def containing_role(tokens: DataFrame, spans: DataFrame, fallback: str = "templa
     return placed.select("sample_id", "pos").join(first, ["sample_id", "pos"], "left").select("sample_id", "pos", F.coalesce("role", F.lit(fallback)).alias("role"))
 
 
+def seek(messages: list[tuple[str, str]], text: str) -> list[tuple[str, int, int]]:
+    """(role, begin, end) of messages (role, content) sought one after the other, each from where the last find ended, else stripped."""
+    out, at = [], 0
+    for role, content in messages:
+        for form in (content, content and content.strip()):
+            if form and (s := text.find(form, at)) >= 0:
+                at = s + len(form)
+                out.append((role, s, at))
+                break
+    return out
+
+
 def message_spans(messages: DataFrame, text: DataFrame) -> DataFrame:
     """(sample_id, span_ord, role, s_start, s_end): messages (sample_id, turn, role, content) sought one after the other.
 

@@ -8,19 +8,20 @@ and positions always meet within one sample and no join lacks an equality.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
-from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists as L
 from ..functions import ranges as R
-from ..functions.regex import matches, to_java
-from ..functions.tokenizers import tokenize_file
-from ..functions.tokens import explode_tokens, word_tokens
+from ..functions.regex import matches
+from ..functions.tokenizers import tokenize_file, tokenize_lists
+from ..functions.tokens import explode_tokens, token_id, word_tokens
 from ..session import cut
 
 SAMPLES = "sample_ord long, sample_id string, target string, error string, input_tokens long, output_tokens long, metadata string"
@@ -50,13 +51,16 @@ class TraceSet:
     #: Known to be without sequences or annotations, so that plans leave out their joins.
     no_sequences: bool = False
     no_annotations: bool = False
-    #: The tokens and the same as one array a sample (sample_id, list), as long as they are those of whole texts.
-    lists: tuple[DataFrame, DataFrame] | None = None
+    no_spans: bool = False
+    #: The tokens, the same as one array a sample, and the texts that span them whole: known as long as the tokens are these.
+    lists: tuple[DataFrame, L.Lists, DataFrame] | None = None
+    #: The annotations, as long as no two of one name are known to overlap.
+    merged: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, **tables: Any) -> TraceSet:
         made = {n: spark.createDataFrame([], s) for n, s in (("samples", SAMPLES), ("tokens", TOKENS), ("sequences", SEQUENCES), ("sequence_tokens", SEQUENCE_TOKENS), ("annotations", ANNOTATIONS), ("spans", SPANS), ("texts", TEXTS), ("scores", SCORES))}
-        known = {"no_sequences": "sequence_tokens" not in tables, "no_annotations": "annotations" not in tables}
+        known = {"no_sequences": "sequence_tokens" not in tables, "no_annotations": "annotations" not in tables, "no_spans": "spans" not in tables}
         return cls(**{**made, **known, **tables})
 
     @classmethod
@@ -69,11 +73,32 @@ class TraceSet:
         expression = word_tokens(F.col("text")) if tokens is None else tokens
         rows = tokenize_file(texts, ["sample_id"], tokenizer) if tokenizer else explode_tokens(texts, ["sample_id"], expression, char_ids)
         rows = rows.withColumn("extras", F.lit(None).cast("string"))
-        n = rows.groupBy("sample_id").agg(F.count("*").alias("n"))
-        whole = texts.join(n, "sample_id", "left").select("sample_id", F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("text_0").alias("name"), F.col("text").alias("value"), F.lit(0).cast("long").alias("start"), F.coalesce("n", F.lit(0)).cast("long").alias("end"), F.lit("{}").alias("metadata"))
+        if tokenizer:
+            made = L.Lists(tokenize_lists(texts, ["sample_id"], tokenizer), F.col("list"), F.col("ids"))
+            whole = texts.join(made.lengths(), "sample_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        else:
+            made = L.Lists(texts.select("sample_id", "text"), expression, F.transform(expression, lambda t: F.ascii(t).cast("long") if char_ids else token_id(t)))
+            whole = texts.withColumn("n", F.coalesce(F.size(expression), F.lit(0)))
+        whole = whole.select("sample_id", F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("text_0").alias("name"), F.col("text").alias("value"), F.lit(0).cast("long").alias("start"), F.greatest("n", F.lit(0)).cast("long").alias("end"), F.lit("{}").alias("metadata"))
         none = F.lit(None)
         samples = texts.select(F.col("sample_ord").cast("long").alias("sample_ord"), "sample_id", none.cast("string").alias("target"), none.cast("string").alias("error"), none.cast("long").alias("input_tokens"), none.cast("long").alias("output_tokens"), F.lit("{}").alias("metadata"))
-        return cls.empty(spark, samples=samples, tokens=rows, texts=whole, lists=None if tokenizer else (rows, texts.select("sample_id", expression.alias("list"))))
+        return cls.empty(spark, samples=samples, tokens=rows, texts=whole, lists=(rows, made, whole))
+
+    @property
+    def listed(self) -> L.Lists | None:
+        """The tokens as lists, if they still are those of ``lists``."""
+        return self.lists[1] if self.lists and self.lists[0] is self.tokens else None
+
+    def lengths(self) -> DataFrame:
+        """(sample_id, n) of the samples with tokens."""
+        return self.listed.lengths() if self.listed else self.tokens.groupBy("sample_id").agg(F.count("*").alias("n"))
+
+    def _with_lists(self, lists: L.Lists, keep_texts: bool = True) -> TraceSet:
+        """The bundle over the tokens of other lists; texts that span all tokens still do."""
+        zipped = F.arrays_zip(lists.ids.alias("id"), lists.list.alias("token"))
+        rows = lists.rows.select("sample_id", F.posexplode(zipped).alias("pos", "t")).select("sample_id", F.col("pos").cast("long").alias("pos"), "t.id", "t.token", F.lit(None).cast("string").alias("extras"))
+        texts = self.texts.drop("end").join(lists.lengths().hint("merge"), "sample_id", "left").withColumn("end", F.coalesce("n", F.lit(0)).cast("long")).select(*self.texts.columns)
+        return replace(self, tokens=rows, texts=texts, lists=(rows, lists, texts))
 
     # -- annotations and spans -------------------------------------------------------------
 
@@ -82,7 +107,7 @@ class TraceSet:
         if self.no_annotations:
             order = Window.partitionBy("sample_id").orderBy("name")
             fresh = R.merge_ranges(found, ["sample_id", "name"]).select("sample_id", (F.dense_rank().over(order) - 1).cast("long").alias("ann_ord"), "name", "start", "end", F.lit(metadata).alias("metadata"))
-            return replace(self, annotations=fresh, no_annotations=False)
+            return replace(self, annotations=fresh, no_annotations=False, merged=fresh)
         last = self.annotations.groupBy("sample_id").agg(F.max("ann_ord").alias("last"))
         order = Window.partitionBy("sample_id").orderBy("name")
         fresh = found.select("sample_id", "name").distinct().withColumn("k", F.row_number().over(order)).join(last, "sample_id", "left")
@@ -90,7 +115,8 @@ class TraceSet:
         both = self.annotations.unionByName(fresh.select(*self.annotations.columns))
         first = both.groupBy("sample_id", "name").agg(F.min_by("metadata", "ann_ord").alias("metadata"), F.min("ann_ord").alias("ann_ord"))
         merged = R.merge_ranges(both, ["sample_id", "name"]).drop("range_ord")
-        return replace(self, annotations=merged.join(first, ["sample_id", "name"]).select(*self.annotations.columns))
+        out = merged.join(first, ["sample_id", "name"]).select(*self.annotations.columns)
+        return replace(self, annotations=out, merged=out)
 
     def annotate_positions(self, positions: DataFrame, metadata: str = "{}") -> TraceSet:
         """Annotate (sample_id, name, pos); no position, no annotation."""
@@ -98,20 +124,33 @@ class TraceSet:
         if self.no_annotations:  # islands are merged already
             order = Window.partitionBy("sample_id").orderBy("name")
             fresh = found.select("sample_id", (F.dense_rank().over(order) - 1).cast("long").alias("ann_ord"), "name", "start", "end", F.lit(metadata).alias("metadata"))
-            return replace(self, annotations=fresh, no_annotations=False)
+            return replace(self, annotations=fresh, no_annotations=False, merged=fresh)
         return self.annotate(found, metadata)
 
     def annotation_positions(self, name: str) -> DataFrame:
-        return R.ranges_to_positions(self.annotations.where(F.col("name") == name), ["sample_id"])
+        return R.ranges_to_positions(self.annotations.where(F.col("name") == name), ["sample_id"], self.merged is self.annotations)
+
+    def position_sets(self, any_of: Iterable[str], none_of: Iterable[str] = ()) -> DataFrame:
+        """(sample_id, positions): the distinct positions with one of some annotations and none of others; one row a sample, where there are some.
+
+        All names are found in one reading; what meets in a sample's row are its ranges.
+        """
+        some, none = set(any_of), set(none_of)
+        a = self.annotations.where(F.col("name").isin(sorted(some | none)) & (F.col("start") < F.col("end")))
+        of = lambda names: F.collect_list(F.when(F.col("name").isin(sorted(names)), F.struct("start", "end")))
+        g = a.groupBy("sample_id").agg(of(some).alias("some"), of(none).alias("none"))
+        covered = lambda c: F.flatten(F.transform(c, lambda r: F.sequence(r["start"], r["end"] - 1)))
+        return g.select("sample_id", F.array_except(covered("some"), covered("none")).alias("positions")).where(F.size("positions") > 0)
 
     def remove_annotation(self, name: str) -> TraceSet:
-        return replace(self, annotations=self.annotations.where(F.col("name") != name))
+        kept = self.annotations.where(F.col("name") != name)
+        return replace(self, annotations=kept, merged=kept if self.merged is self.annotations else None)
 
     def create_span_from_tag(self, tag: str, span: str) -> TraceSet:
         """A span with the tag's positions in every sample that has some, after the sample's other spans."""
         last = self.spans.groupBy("sample_id").agg(F.max("span_ord").alias("last"))
         new = self.annotation_positions(tag).join(last, "sample_id", "left").select("sample_id", (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("span_ord"), F.lit(span).alias("name"), F.col("pos").alias("position"), F.to_json(F.array(F.lit(tag))).alias("tags"))
-        return replace(self, spans=self.spans.unionByName(new))
+        return replace(self, spans=self.spans.unionByName(new), no_spans=False)
 
     # -- expansion -------------------------------------------------------------------------
 
@@ -134,6 +173,9 @@ class TraceSet:
         """Tokens with references replaced; vocabulary tokens keep their extras. ``from_pos`` is the native position."""
         if self.no_sequences:
             return self.tokens.select("sample_id", "pos", "id", "token", "extras", F.col("pos").alias("from_pos"), F.lit(None).cast("string").alias("seq_id"))
+        if self.listed and chosen is None:
+            zipped = F.posexplode(F.arrays_zip("ids", "list", "from_pos", "seq_id")).alias("pos", "t")
+            return L.expanded(self.listed).select("sample_id", zipped).select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("t.ids").alias("id"), F.col("t.list").alias("token"), F.lit(None).cast("string").alias("extras"), "t.from_pos", "t.seq_id")
         t = self.tokens.join(self.pieces(chosen), ["sample_id", "pos"])
         inner = F.col("expanded")
         s = self.sequence_tokens.select(F.col("seq_id").alias("sid"), "seq_pos", F.col("id").alias("sid_id"), F.col("token").alias("sid_token"))
@@ -169,9 +211,17 @@ class TraceSet:
 
     def expand_sequences(self) -> TraceSet:
         """All references expanded; no sequences left."""
+        if self._plain:
+            out = self._with_lists(L.Lists(L.expanded(self.listed), F.col("list"), F.col("ids")))
+            return replace(out, sequences=self.sequences.limit(0), sequence_tokens=self.sequence_tokens.limit(0), no_sequences=True)
         out = self._remap(self.expanded_tokens(), self.pieces())
         return replace(out, sequences=self.sequences.limit(0), sequence_tokens=self.sequence_tokens.limit(0), no_sequences=True)
 
+    @property
+    def _plain(self) -> bool:
+        """Whether lists are all there is: only texts that span all tokens would have to follow a change of them."""
+        return bool(self.listed and self.no_annotations and self.no_spans and self.lists[2] is self.texts)
+
     def materialize_position(self, sample_id: str, expanded: int) -> tuple[TraceSet, int]:
         """Expand only the reference that holds the expanded position; the bundle and the native index. IndexError outside."""
         p = self.pieces().where((F.col("sample_id") == sample_id) & (F.col("start") <= expanded) & (F.col("start") + F.col("len") > expanded)).first() if expanded >= 0 else None
@@ -211,31 +261,19 @@ class TraceSet:
     def tag_by_regexes(self, tags: Iterable[tuple[str, str]], sequences: bool = True) -> TraceSet:
         """As predicates over token strings; references have no string of their own. Several patterns may share a tag."""
         tags = list(tags)
-        if self.lists and self.lists[0] is self.tokens and self.no_annotations and self.no_sequences and all(to_java(p) is not None for p, _ in tags):
-            return self._tag_lists(tags)
+        if self.listed and self.no_annotations and (self._plain or not self.listed.sequences or not sequences):
+            return self._tag_lists(tags, sequences)
         return self.tag_by_predicates([(matches(F.col("token"), p), t) for p, t in tags], on_refs=False, sequences=sequences)
 
-    def _tag_lists(self, tags: list[tuple[str, str]]) -> TraceSet:
-        """The same where each sample is a list still: islands are found inside the row, without a shuffle."""
-
-        def hits(name: str) -> Column:
-            """The positions with a hit of the name, ascending."""
-            any_of = lambda t: reduce(Column.__or__, (matches(t, p) for p, n in tags if n == name))
-            return F.filter(F.transform("list", lambda t, i: F.when(any_of(t), i.cast("long"))), lambda x: x.isNotNull())
-
-        def ranges(at: Column) -> Column:
-            """Islands of ascending positions: from those without a neighbour before to those without one behind."""
-            first = F.filter(at, lambda p, k: F.coalesce(F.get(at, k - 1) != p - 1, F.lit(True)))
-            last = F.filter(at, lambda p, k: F.coalesce(F.get(at, k + 1) != p + 1, F.lit(True)))
-            return F.zip_with(first, last, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
-
-        names = sorted({n for _, n in tags})
-        rows = self.lists[1].select("sample_id", *(hits(n).alias(f"hits{k}") for k, n in enumerate(names)))
-        # An outer explode, as an inner one has a filter made for it that evaluates all this again.
-        found = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"hits{k}").alias("at")) for k, n in enumerate(names))), lambda x: F.size(x["at"]) > 0)
-        named = rows.select("sample_id", F.posexplode_outer(found).alias("ann_ord", "x")).where("x IS NOT NULL").select("sample_id", F.col("ann_ord").cast("long").alias("ann_ord"), "x.name", "x.at")
-        spread = named.select("sample_id", "ann_ord", "name", F.explode_outer(ranges(F.col("at"))).alias("r"))
-        return replace(self, annotations=spread.select("sample_id", "ann_ord", "name", "r.start", "r.end", F.lit("{}").alias("metadata")), no_annotations=False)
+    def _tag_lists(self, tags: list[tuple[str, str]], sequences: bool) -> TraceSet:
+        """The same where each sample is a list still: references are expanded and islands found inside the row, without a shuffle."""
+        ts = self
+        if sequences and self.listed.sequences:
+            hit = {n for n, (tokens, _) in self.listed.sequences.items() if any(re.search(p, t) for p, _ in tags for t in tokens)}
+            if hit:
+                ts = self._with_lists(L.Lists(L.expanded(self.listed, hit), F.col("list"), F.col("ids"), sequences=self.listed.sequences))
+        found = L.tagged(ts.listed, tags).withColumn("metadata", F.lit("{}"))
+        return replace(ts, annotations=found, no_annotations=False, merged=found)
 
     def tag_by_regex(self, pattern: str, tag: str, sequences: bool = True) -> TraceSet:
         return self.tag_by_regexes([(pattern, tag)], sequences)
@@ -247,7 +285,8 @@ class TraceSet:
         """
         from .textmatch import overlapping
 
-        return self.annotate_positions(overlapping(self.expanded_tokens() if expand else self.tokens, pattern, mode).withColumn("name", F.lit(tag)))
+        lists = self.listed if self.listed and not (expand and self.listed.sequences) else None
+        return self.annotate_positions(overlapping(self.expanded_tokens() if expand else self.tokens, pattern, mode, lists).withColumn("name", F.lit(tag)))
 
     def tag_special_tokens(self, ids: Iterable[int], tag: str = "special") -> TraceSet:
         return self.annotate_positions(self.tokens.where(F.col("id").isin(list(ids))).select("sample_id", "pos", F.lit(tag).alias("name")))
@@ -278,13 +317,27 @@ class TraceSet:
         return sized.where(inside & (F.pmod(pos - lo, F.lit(abs(step))) == 0)).drop("n")
 
     def select_by_annotation(self, name: str) -> DataFrame:
-        a = self.annotations.where(F.col("name") == name).select(F.col("sample_id").alias("s"), "start", "end")
-        return self.tokens.join(a, (F.col("sample_id") == F.col("s")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left_semi")
+        """Tokens of an annotation. Of lists, only samples that have it are looked into; else positions meet under equal keys."""
+        a = self.annotations.where((F.col("name") == name) & (F.col("start") < F.col("end")))
+        if not self.listed:
+            return self.tokens.join(R.ranges_to_positions(a, ["sample_id"]), ["sample_id", "pos"], "left_semi")
+        at = a.groupBy("sample_id").agg(F.collect_list(F.struct("start", "end")).alias("__r"))
+        j = self.listed.table((at, "inner"), ids=True)
+        spread = F.array_distinct(F.flatten(F.transform("__r", lambda r: F.sequence(r["start"], r["end"] - 1))))
+        picked = F.transform(F.filter(spread, lambda p: (p >= 0) & (p < F.size("list"))), lambda p: F.struct(p.alias("pos"), F.get("ids", p.cast("int")).alias("id"), F.get("list", p.cast("int")).alias("token")))
+        return j.select("sample_id", F.explode(picked).alias("t")).select("sample_id", "t.pos", "t.id", "t.token", F.lit(None).cast("string").alias("extras"))
 
     def select_by_span(self, name: str) -> DataFrame:
         p = self.spans.where(F.col("name") == name).select("sample_id", F.col("position").alias("pos"))
         return self.tokens.join(p, ["sample_id", "pos"], "left_semi")
 
+    def text_parts(self) -> DataFrame:
+        """(sample_id, parts): path and joined tokens of each text that has tokens, by path; one row a sample."""
+        at = self.texts.where("start < end").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("__r"))
+        rows = (self.listed or L.Lists.of(self.tokens)).table((at, "inner"))
+        cut_out = lambda r: F.array_join(F.slice("list", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")), "")
+        return rows.select("sample_id", F.transform("__r", lambda r: F.struct(r["path"].alias("path"), cut_out(r).alias("text"))).alias("parts"))
+
     def select_by_sequence_id(self, seq_id: str) -> DataFrame:
         return self.tokens.where(F.col("id").isNull() & (F.col("token") == seq_id))
 
@@ -307,8 +360,11 @@ class TraceSet:
         return self._only(self.samples.where(predicate))
 
     def _only(self, samples: DataFrame) -> TraceSet:
-        keep = {n: getattr(self, n).join(samples.select("sample_id"), "sample_id", "left_semi") for n in ("tokens", "annotations", "spans", "texts", "scores")}
-        return replace(self, samples=samples, **keep).prune_sequences()
+        within = lambda df: df.join(samples.select("sample_id"), "sample_id", "left_semi")
+        out = replace(self, samples=samples, **{n: within(getattr(self, n)) for n in ("tokens", "annotations", "spans", "texts", "scores")})
+        if self.listed:
+            out = replace(out, lists=(out.tokens, replace(self.listed, rows=within(self.listed.rows)), out.texts if self.lists[2] is self.texts else self.lists[2]))
+        return out.prune_sequences()
 
     def prune_sequences(self) -> TraceSet:
         """Only the sequences that some token refers to."""
@@ -319,7 +375,7 @@ class TraceSet:
 
     def get_extra(self, key: str, default: object = None) -> DataFrame:
         """(sample_id, pos, value): the JSON text of an extra, the default where it is absent."""
-        bag = F.from_json(F.coalesce("extras", F.lit("{}")), "map<string,string>")
+        bag = F.from_json("extras", "map<string,string>")
         return self.tokens.select("sample_id", "pos", F.coalesce(F.try_element_at(bag, F.lit(key)), F.lit(default).cast("string")).alias("value"))
 
     def has_extra(self, key: str) -> DataFrame:
@@ -328,14 +384,24 @@ class TraceSet:
 
     def set_extra(self, values: DataFrame, key: str) -> TraceSet:
         """Set ``key`` from (sample_id, pos, value), value being JSON text; other extras stay."""
+        if self.listed:
+            return self._set_listed(values, key)
         bag = F.from_json(F.coalesce("extras", F.lit("{}")), "map<string,string>")
-        t = self.tokens.join(values.select("sample_id", "pos", F.col("value").alias("__v")), ["sample_id", "pos"], "left")
+        # Never broadcast: token tables compress to little of what a driver would hold.
+        t = self.tokens.join(values.select("sample_id", "pos", F.col("value").alias("__v")).hint("merge"), ["sample_id", "pos"], "left")
         rest = F.expr("regexp_replace(extras, '[}]\\\\s*$', '')")
         without = F.when(F.coalesce("extras", F.lit("{}")).rlike(r"^\s*\{\s*\}\s*$") | F.col("extras").isNull(), F.lit("{")).otherwise(F.concat(rest, F.lit(",")))
         joined = F.concat(without, F.to_json(F.array(F.lit(key))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(key)))) - 2), F.lit(":"), F.col("__v"), F.lit("}"))
         replaced = F.when(F.map_contains_key(bag, key), self._replace_key(key)).otherwise(joined)
         return replace(self, tokens=t.withColumn("extras", F.when(F.col("__v").isNotNull(), replaced).otherwise(F.col("extras"))).select(*self.tokens.columns))
 
+    def _set_listed(self, values: DataFrame, key: str) -> TraceSet:
+        """The same where no token has extras yet: the values of a sample meet its list, not each token."""
+        g = values.groupBy("sample_id").agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value"))).alias("__v"))
+        rows = L.aligned(self.listed, g)
+        t = rows.select("sample_id", F.posexplode(F.arrays_zip("ids", "list", "value")).alias("pos", "t")).select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("t.ids").alias("id"), F.col("t.list").alias("token"), F.col("t.value").alias("__v"))
+        return replace(self, tokens=t.withColumn("extras", F.concat(F.lit("{" + json.dumps(key, ensure_ascii=False) + ":"), F.col("__v"), F.lit("}"))).select(*self.tokens.columns))
+
     @staticmethod
     def _replace_key(key: str) -> Column:
         @F.pandas_udf("string")
