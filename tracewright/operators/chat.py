@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists as L
-from ..functions.tokens import char_tokens
 from . import textmatch
 from .traces import ROLE_SOURCE, TraceSet
 
@@ -75,8 +74,9 @@ def message_ranges(messages: DataFrame, tokens: DataFrame, rendered: DataFrame,
                     column.append(v)
         yield batch.column("sample_id").take(pa.array(rows[0], pa.int64())), *rows[1:]
 
-    j = (lists or L.Lists.of(tokens)).table((_by_sample(messages, "role"), "right"), (rendered.withColumnRenamed("text", "rendered"), "left"))
-    return L.mapped(j, each, f"sample_id string, turn {kind}, role string, name string, start long, end long")
+    lists = lists or L.Lists.of(tokens)
+    j = lists.table((_by_sample(messages, "role"), "right"), (rendered.withColumnRenamed("text", "rendered"), "left"))
+    return L.mapped(lists, j, each, f"sample_id string, turn {kind}, role string, name string, start long, end long")
 
 
 def chat_traces(messages: DataFrame, tokens: Column | None = None, tokenizer: str | None = None) -> TraceSet:
@@ -90,7 +90,7 @@ def chat_traces(messages: DataFrame, tokens: Column | None = None, tokenizer: st
     if tokenizer:
         base = TraceSet.from_texts(texts, tokenizer=tokenizer)
     else:
-        base = TraceSet.from_texts(texts, char_tokens(F.col("text")) if tokens is None else tokens, tokens is None)
+        base = TraceSet.from_texts(texts, "chars" if tokens is None else tokens)
     r = message_ranges(messages.select("sample_id", "turn", "role", "content"), base.tokens, rendered, lists=base.listed)
     named = name_messages(messages).select("sample_id", "turn", F.coalesce("content", F.lit("")).alias("value"))
     w = Window.partitionBy("sample_id").orderBy("turn")
@@ -122,7 +122,7 @@ def role_runs(lists: L.Lists, messages: DataFrame, rendered: DataFrame, fallback
         yield batch.column("sample_id").take(pa.array(rows[0], pa.int64())), *rows[1:]
 
     j = lists.table((_by_sample(messages, "role", "content"), "inner"), (rendered.withColumnRenamed("text", "rendered"), "inner"))
-    found = L.mapped(j, each, "sample_id string, ann_ord long, name string, start long, end long")
+    found = L.mapped(lists, j, each, "sample_id string, ann_ord long, name string, start long, end long")
     return found.withColumn("metadata", F.lit(ROLE_SOURCE))
 
 
@@ -174,8 +174,9 @@ def message_token_range(tokens: DataFrame, rendered: DataFrame, needle: DataFram
                         column.append(v)
         yield batch.column("sample_id").take(pa.array(rows[0], pa.int64())), *rows[1:]
 
-    j = (lists or L.Lists.of(tokens)).table((rendered.withColumnRenamed("text", "rendered"), "inner"), (needle.where("coalesce(content, '') <> ''"), "inner"))
-    return L.mapped(j, each, "sample_id string, start long, end long")
+    lists = lists or L.Lists.of(tokens)
+    j = lists.table((rendered.withColumnRenamed("text", "rendered"), "inner"), (needle.where("coalesce(content, '') <> ''"), "inner"))
+    return L.mapped(lists, j, each, "sample_id string, start long, end long")
 
 
 def last_reply(messages: DataFrame, role: str = "assistant") -> DataFrame:

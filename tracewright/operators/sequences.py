@@ -31,13 +31,8 @@ def common_ngrams(grams: DataFrame, samples: int, key: str = "sample_id") -> Dat
 
 def least_sample(lists: L.Lists) -> list[str]:
     """The tokens of the sample with the fewest, the first such by id; what all samples share stands in it."""
-    sized = lists.rows.select("sample_id", F.size(lists.list).alias("n"))
-    least = sized.agg(F.min_by("sample_id", F.struct("n", "sample_id")).alias("s")).first().s
-    return tokens_of(lists, least)
-
-
-def tokens_of(lists: L.Lists, sample: str | None) -> list[str]:
-    row = lists.rows.where(F.col("sample_id") == sample).select(lists.list.alias("list")).first()
+    least = lists.lengths().agg(F.min_by("sample_id", F.struct("n", "sample_id")).alias("s")).first().s
+    row = lists.arrays().where(F.col("sample_id") == least).first()
     return list(row.list or []) if row else []
 
 
@@ -140,7 +135,7 @@ def _named(runs: list[tuple[int, list[str]]], words: list[str], ids: list[int],
 def _deduplicate_lists(ts: TraceSet, first: str, k: int, min_length: int) -> TraceSet:
     """The same where each sample is a list still and nothing is annotated: runs are sought and replaced inside the rows."""
     lists = ts.listed
-    row = lists.rows.where(F.col("sample_id") == first).select(lists.list.alias("list"), lists.ids.alias("ids")).first()
+    row = lists.arrays().where(F.col("sample_id") == first).first()
     words, ids = list(row.list or []), list(row.ids or [])
     if k == 1:
         runs = [(0, words)] if len(words) >= min_length else []
@@ -150,7 +145,7 @@ def _deduplicate_lists(ts: TraceSet, first: str, k: int, min_length: int) -> Tra
     if not fresh:
         return ts
     known = {n: (strings, numbers) for n, strings, numbers in fresh}
-    out = ts._with_lists(L.Lists(L.replaced(lists, known), F.col("list"), F.col("ids"), sequences=known))
+    out = ts._with_lists(lists.replaced(known))
     return _with_sequences(ts, out, fresh)
 
 
@@ -178,7 +173,7 @@ def deduplicate(ts: TraceSet, min_length: int = 5) -> TraceSet:
     if not k:
         return ts
     first = order.orderBy("sample_ord").first().sample_id
-    if ts._plain and not ts.listed.sequences:
+    if ts._plain and not ts.listed.steps:
         return _deduplicate_lists(ts, first, k, min_length)
     clean = cut(_clean(ts))
     # The first sample alone comes to the driver, as naming and maximality are decided on it.

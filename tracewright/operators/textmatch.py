@@ -59,7 +59,8 @@ def overlapping(tokens: DataFrame, pattern: str, mode: str = "all", lists: L.Lis
                 at = np.unique(np.concatenate(found))
                 yield b.names.take(pa.array(np.full(len(at), r))), b.positions(r, at)
 
-    return L.mapped((lists or L.Lists.of(tokens)).table(), each, "sample_id string, pos long")
+    lists = lists or L.Lists.of(tokens)
+    return L.mapped(lists, lists.table(), each, "sample_id string, pos long")
 
 
 def containing_role(tokens: DataFrame, spans: DataFrame, fallback: str = "template") -> DataFrame:

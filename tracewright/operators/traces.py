@@ -21,7 +21,7 @@ from ..functions import lists as L
 from ..functions import ranges as R
 from ..functions.regex import matches
 from ..functions.tokenizers import tokenize_file, tokenize_lists
-from ..functions.tokens import explode_tokens, token_id, word_tokens
+from ..functions.tokens import char_tokens, explode_tokens, token_id, word_tokens
 from ..session import cut
 
 SAMPLES = "sample_ord long, sample_id string, target string, error string, input_tokens long, output_tokens long, metadata string"
@@ -64,20 +64,22 @@ class TraceSet:
         return cls(**{**made, **known, **tables})
 
     @classmethod
-    def from_texts(cls, texts: DataFrame, tokens: Column | None = None, char_ids: bool = False, tokenizer: str | None = None) -> TraceSet:
+    def from_texts(cls, texts: DataFrame, tokens: Column | str | None = None, char_ids: bool = False, tokenizer: str | None = None) -> TraceSet:
         """One sample a row of (sample_ord, sample_id, text), with one text over all its tokens.
 
-        Tokens are those of the ``tokenizer`` file, of the column expression ``tokens``, or else words.
+        Tokens are those of the ``tokenizer`` file, of the column expression ``tokens``, characters (``chars``) with their
+        code points as ids, or else words.
         """
         spark = texts.sparkSession
-        expression = word_tokens(F.col("text")) if tokens is None else tokens
+        split = tokens if isinstance(tokens, str) else "words" if tokens is None else None
+        expression, char_ids = (tokens, char_ids) if split is None else (char_tokens(F.col("text")), True) if split == "chars" else (word_tokens(F.col("text")), char_ids)
         rows = tokenize_file(texts, ["sample_id"], tokenizer) if tokenizer else explode_tokens(texts, ["sample_id"], expression, char_ids)
         rows = rows.withColumn("extras", F.lit(None).cast("string"))
         if tokenizer:
             made = L.Lists(tokenize_lists(texts, ["sample_id"], tokenizer), F.col("list"), F.col("ids"))
             whole = texts.join(made.lengths(), "sample_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         else:
-            made = L.Lists(texts.select("sample_id", "text"), expression, F.transform(expression, lambda t: F.ascii(t).cast("long") if char_ids else token_id(t)))
+            made = L.Lists(texts.select("sample_id", "text"), expression, F.transform(expression, lambda t: F.ascii(t).cast("long") if char_ids else token_id(t)), split=split)
             whole = texts.withColumn("n", F.coalesce(F.size(expression), F.lit(0)))
         whole = whole.select("sample_id", F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("text_0").alias("name"), F.col("text").alias("value"), F.lit(0).cast("long").alias("start"), F.greatest("n", F.lit(0)).cast("long").alias("end"), F.lit("{}").alias("metadata"))
         none = F.lit(None)
@@ -95,8 +97,7 @@ class TraceSet:
 
     def _with_lists(self, lists: L.Lists, keep_texts: bool = True) -> TraceSet:
         """The bundle over the tokens of other lists; texts that span all tokens still do."""
-        zipped = F.arrays_zip(lists.ids.alias("id"), lists.list.alias("token"))
-        rows = lists.rows.select("sample_id", F.posexplode(zipped).alias("pos", "t")).select("sample_id", F.col("pos").cast("long").alias("pos"), "t.id", "t.token", F.lit(None).cast("string").alias("extras"))
+        rows = lists.exploded().select("sample_id", "pos", "id", "token", F.lit(None).cast("string").alias("extras"))
         texts = self.texts.drop("end").join(lists.lengths().hint("merge"), "sample_id", "left").withColumn("end", F.coalesce("n", F.lit(0)).cast("long")).select(*self.texts.columns)
         return replace(self, tokens=rows, texts=texts, lists=(rows, lists, texts))
 
@@ -174,8 +175,7 @@ class TraceSet:
         if self.no_sequences:
             return self.tokens.select("sample_id", "pos", "id", "token", "extras", F.col("pos").alias("from_pos"), F.lit(None).cast("string").alias("seq_id"))
         if self.listed and chosen is None:
-            zipped = F.posexplode(F.arrays_zip("ids", "list", "from_pos", "seq_id")).alias("pos", "t")
-            return L.expanded(self.listed).select("sample_id", zipped).select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("t.ids").alias("id"), F.col("t.list").alias("token"), F.lit(None).cast("string").alias("extras"), "t.from_pos", "t.seq_id")
+            return self.listed.expanded().exploded().select("sample_id", "pos", "id", "token", F.lit(None).cast("string").alias("extras"), "from_pos", "seq_id")
         t = self.tokens.join(self.pieces(chosen), ["sample_id", "pos"])
         inner = F.col("expanded")
         s = self.sequence_tokens.select(F.col("seq_id").alias("sid"), "seq_pos", F.col("id").alias("sid_id"), F.col("token").alias("sid_token"))
@@ -212,7 +212,7 @@ class TraceSet:
     def expand_sequences(self) -> TraceSet:
         """All references expanded; no sequences left."""
         if self._plain:
-            out = self._with_lists(L.Lists(L.expanded(self.listed), F.col("list"), F.col("ids")))
+            out = self._with_lists(self.listed.expanded())
             return replace(out, sequences=self.sequences.limit(0), sequence_tokens=self.sequence_tokens.limit(0), no_sequences=True)
         out = self._remap(self.expanded_tokens(), self.pieces())
         return replace(out, sequences=self.sequences.limit(0), sequence_tokens=self.sequence_tokens.limit(0), no_sequences=True)
@@ -271,7 +271,7 @@ class TraceSet:
         if sequences and self.listed.sequences:
             hit = {n for n, (tokens, _) in self.listed.sequences.items() if any(re.search(p, t) for p, _ in tags for t in tokens)}
             if hit:
-                ts = self._with_lists(L.Lists(L.expanded(self.listed, hit), F.col("list"), F.col("ids"), sequences=self.listed.sequences))
+                ts = self._with_lists(self.listed.expanded(hit))
         found = L.tagged(ts.listed, tags).withColumn("metadata", F.lit("{}"))
         return replace(ts, annotations=found, no_annotations=False, merged=found)
 
@@ -319,10 +319,10 @@ class TraceSet:
     def select_by_annotation(self, name: str) -> DataFrame:
         """Tokens of an annotation. Of lists, only samples that have it are looked into; else positions meet under equal keys."""
         a = self.annotations.where((F.col("name") == name) & (F.col("start") < F.col("end")))
-        if not self.listed:
+        if not self.listed or self.listed.steps:
             return self.tokens.join(R.ranges_to_positions(a, ["sample_id"]), ["sample_id", "pos"], "left_semi")
         at = a.groupBy("sample_id").agg(F.collect_list(F.struct("start", "end")).alias("__r"))
-        j = self.listed.table((at, "inner"), ids=True)
+        j = self.listed.arrays((at, "inner"))
         spread = F.array_distinct(F.flatten(F.transform("__r", lambda r: F.sequence(r["start"], r["end"] - 1))))
         picked = F.transform(F.filter(spread, lambda p: (p >= 0) & (p < F.size("list"))), lambda p: F.struct(p.alias("pos"), F.get("ids", p.cast("int")).alias("id"), F.get("list", p.cast("int")).alias("token")))
         return j.select("sample_id", F.explode(picked).alias("t")).select("sample_id", "t.pos", "t.id", "t.token", F.lit(None).cast("string").alias("extras"))
@@ -334,7 +334,7 @@ class TraceSet:
     def text_parts(self) -> DataFrame:
         """(sample_id, parts): path and joined tokens of each text that has tokens, by path; one row a sample."""
         at = self.texts.where("start < end").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("__r"))
-        rows = (self.listed or L.Lists.of(self.tokens)).table((at, "inner"))
+        rows = (self.listed if self.listed and not self.listed.steps else L.Lists.of(self.tokens)).arrays((at, "inner"))
         cut_out = lambda r: F.array_join(F.slice("list", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")), "")
         return rows.select("sample_id", F.transform("__r", lambda r: F.struct(r["path"].alias("path"), cut_out(r).alias("text"))).alias("parts"))
 
@@ -398,8 +398,7 @@ class TraceSet:
     def _set_listed(self, values: DataFrame, key: str) -> TraceSet:
         """The same where no token has extras yet: the values of a sample meet its list, not each token."""
         g = values.groupBy("sample_id").agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value"))).alias("__v"))
-        rows = L.aligned(self.listed, g)
-        t = rows.select("sample_id", F.posexplode(F.arrays_zip("ids", "list", "value")).alias("pos", "t")).select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("t.ids").alias("id"), F.col("t.list").alias("token"), F.col("t.value").alias("__v"))
+        t = L.aligned(self.listed, g).withColumnRenamed("value", "__v")
         return replace(self, tokens=t.withColumn("extras", F.concat(F.lit("{" + json.dumps(key, ensure_ascii=False) + ":"), F.col("__v"), F.lit("}"))).select(*self.tokens.columns))
 
     @staticmethod
