@@ -18,11 +18,12 @@ from .traces import ROLE_SOURCE, TraceSet
 BEGIN, TERMINATOR = "<s>", "[end]"
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """(sample_id, text) of messages (sample_id, turn, role, content) in turn order; a null content is empty."""
+def render(messages: DataFrame, order: bool = False) -> DataFrame:
+    """(sample_id, text) of messages (sample_id, turn, role, content) in turn order; a null content is empty. With ``order`` also the least sample_ord."""
     part = F.concat(F.lit("["), "role", F.lit("]"), F.coalesce("content", F.lit("")), F.lit(TERMINATOR))
-    rows = messages.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("t"))
-    return rows.select("sample_id", F.concat(F.lit(BEGIN), F.array_join("t.part", "")).alias("text"))
+    least = [F.min("sample_ord").alias("sample_ord")] if order else []
+    rows = messages.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("t"), *least)
+    return rows.select("sample_id", F.concat(F.lit(BEGIN), F.array_join("t.part", "")).alias("text"), *["sample_ord"] * order)
 
 
 def name_messages(messages: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def chat_traces(messages: DataFrame, tokens: Column | None = None, tokenizer: st
     Tokens are those of the ``tokenizer`` file, of the column expression, or else characters.
     """
     rendered = render(messages)
-    order = messages.groupBy("sample_id").agg(F.min("sample_ord").alias("sample_ord"))
-    texts = rendered.join(order, "sample_id")
+    texts = render(messages, order=True)
     if tokenizer:
         base = TraceSet.from_texts(texts, tokenizer=tokenizer)
     else:
