@@ -44,3 +44,12 @@ def test_pieces_hold_all_rows(monkeypatch):
     parts = [L.Batch(p) for p in L.pieces(b)]
     assert sum((p.names.to_pylist() for p in parts), []) == ["0", "1", "2", "3"] and len(parts) > 1
     assert [p.text(r) for p in parts for r in range(len(p.names))] == ["", "a b c d", "e", "f"]
+
+
+def test_common_ngrams_of_lists(spark):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abé") for _ in range(r.randint(20, 40))) for _ in range(5)]
+    got = sequences.ngram_intersection(chars(spark, texts).listed, 5, 3)
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    assert {x.gram.replace(sequences.SEP, "") for x in got.collect()} == set.intersection(*grams)
+    assert "Window" not in plan(got) and not sequences.ngram_intersection(chars(spark, [*texts, ""]).listed, 6, 3).count()
