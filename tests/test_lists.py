@@ -53,3 +53,16 @@ def test_common_ngrams_of_lists(spark):
     grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
     assert {x.gram.replace(sequences.SEP, "") for x in got.collect()} == set.intersection(*grams)
     assert "Window" not in plan(got) and not sequences.ngram_intersection(chars(spark, [*texts, ""]).listed, 6, 3).count()
+
+
+def test_shared_runs_of_lists(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(8, 20))) for _ in range(4)]
+    ts = chars(spark, texts)
+    got = sequences.shared_run_lengths(ts.tokens, "0", 4, 3, lists=ts.listed)
+    want = {}
+    for i in range(len(texts[0]) - 2):
+        reach = [max((k for k in range(3, len(texts[0]) - i + 1) if texts[0][i : i + k] in t), default=0) for t in texts[1:]]
+        if min(reach):
+            want[i] = min(reach)
+    assert {x.pos: x.len for x in got.collect()} == want and want and "Window" not in plan(got)
