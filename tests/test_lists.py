@@ -66,3 +66,14 @@ def test_shared_runs_of_lists(spark):
         if min(reach):
             want[i] = min(reach)
     assert {x.pos: x.len for x in got.collect()} == want and want and "Window" not in plan(got)
+
+
+def test_logprobs_of_lists(spark):
+    m = talk(spark)
+    ts = chat.tag_generated(chat.chat_traces(m), m)
+    n = ts.annotations.select("sample_id", F.explode(F.sequence(F.lit(0), F.col("end") - F.col("start") - 1)).alias("k"))
+    values = n.where("sample_id <> '3'").select("sample_id", "k", F.when(F.col("k") > 0, F.col("k") * 0.5).alias("logprob"))
+    got, want = (x.attach_logprobs(values).get_extra("logprob").where("value IS NOT NULL") for x in (ts, old(ts)))
+    assert rows(got) == rows(want) and got.count()
+    assert "BroadcastHashJoin" not in plan(ts.set_extra(values.selectExpr("sample_id", "k pos", "string(k) value"), "x").tokens)
+    assert "BroadcastHashJoin" not in plan(old(ts).set_extra(values.selectExpr("sample_id", "k pos", "string(k) value"), "x").tokens)
