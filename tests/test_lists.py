@@ -77,3 +77,11 @@ def test_logprobs_of_lists(spark):
     assert rows(got) == rows(want) and got.count()
     assert "BroadcastHashJoin" not in plan(ts.set_extra(values.selectExpr("sample_id", "k pos", "string(k) value"), "x").tokens)
     assert "BroadcastHashJoin" not in plan(old(ts).set_extra(values.selectExpr("sample_id", "k pos", "string(k) value"), "x").tokens)
+
+
+def test_roles_of_lists(spark):
+    m = talk(spark)
+    ts = chat.chat_traces(m)
+    got, want = (chat.tag_chat_roles(x, m).annotations for x in (ts, old(ts)))
+    assert rows(got) == rows(want.select(*got.columns)) and got.count() > 20
+    assert "BroadcastHashJoin" not in plan(got) and "Window" not in plan(got)
