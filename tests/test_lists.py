@@ -85,3 +85,10 @@ def test_roles_of_lists(spark):
     got, want = (chat.tag_chat_roles(x, m).annotations for x in (ts, old(ts)))
     assert rows(got) == rows(want.select(*got.columns)) and got.count() > 20
     assert "BroadcastHashJoin" not in plan(got) and "Window" not in plan(got)
+
+
+def test_role_counts_of_lists(spark):
+    m = talk(spark)
+    ts = chat.tag_chat_roles(chat.chat_traces(m), m)
+    n = ts.annotations.groupBy("sample_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    assert rows(n) == rows(ts.lengths()) and "BroadcastHashJoin" not in plan(n)
