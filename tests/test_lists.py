@@ -92,3 +92,16 @@ def test_role_counts_of_lists(spark):
     ts = chat.tag_chat_roles(chat.chat_traces(m), m)
     n = ts.annotations.groupBy("sample_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
     assert rows(n) == rows(ts.lengths()) and "BroadcastHashJoin" not in plan(n)
+
+
+def test_collapse_of_lists(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["[user]", "[end]", "x", "y1", "é"]) for _ in range(r.randint(4, 9))) + "[end]<s>[user]" for _ in range(5)]
+    ts = chars(spark, texts)
+    new, was = ts.deduplicate_sequences(4), old(ts).deduplicate_sequences(4)
+    assert rows(new.sequence_tokens) == rows(was.sequence_tokens) and new.sequence_tokens.count()
+    assert rows(new.tokens) == rows(was.tokens) and rows(new.texts) == rows(was.texts)
+    assert rows(new.expand_sequences().tokens) == rows(ts.tokens) and rows(new.expanded_tokens()) == rows(was.expanded_tokens())
+    tagged_, before = (x.tag_by_regex("^\\[$", "open") for x in (new, was))
+    assert rows(tagged_.annotations) == rows(before.annotations.select(*tagged_.annotations.columns)) and rows(tagged_.tokens) == rows(before.tokens)
+    assert "Window" not in plan(new.expand_sequences().tokens)
