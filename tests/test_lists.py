@@ -105,3 +105,10 @@ def test_collapse_of_lists(spark):
     tagged_, before = (x.tag_by_regex("^\\[$", "open") for x in (new, was))
     assert rows(tagged_.annotations) == rows(before.annotations.select(*tagged_.annotations.columns)) and rows(tagged_.tokens) == rows(before.tokens)
     assert "Window" not in plan(new.expand_sequences().tokens)
+
+
+def test_subset_of_collapsed_lists(spark):
+    ts = chars(spark, ["abcdeX", "Yabcde", "abcdeabcde", "Zabcde1"])
+    keep = [x.deduplicate_sequences(5).subset(F.col("sample_ord") % 2 == 1) for x in (ts, old(ts))]
+    assert rows(keep[0].expand_sequences().tokens) == rows(keep[1].expand_sequences().tokens) and keep[0].listed is not None
+    assert "Window" not in plan(keep[0].expand_sequences().tokens)
