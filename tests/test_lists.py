@@ -112,3 +112,17 @@ def test_subset_of_collapsed_lists(spark):
     keep = [x.deduplicate_sequences(5).subset(F.col("sample_ord") % 2 == 1) for x in (ts, old(ts))]
     assert rows(keep[0].expand_sequences().tokens) == rows(keep[1].expand_sequences().tokens) and keep[0].listed is not None
     assert "Window" not in plan(keep[0].expand_sequences().tokens)
+
+
+def test_message_ranges_of_lists(spark):
+    m = talk(spark)
+    r = chat.render(m)
+    ts = chat.chat_traces(m)
+    got = chat.message_ranges(m, ts.tokens, r, lists=ts.listed)
+    assert rows(got) == rows(chat.message_ranges(m, ts.tokens, r)) and "Window" not in plan(got)
+    bad = {x.sample_id for x in m.where("content LIKE '%[end]%'").collect()}
+    ends = dict(map(tuple, ts.lengths().collect()))
+    for s in ends:
+        own = sorted((x.turn, x.start, x.end) for x in got.where(F.col("sample_id") == s).collect()) if s not in bad else []
+        assert all(a[2] == b[1] for a, b in zip(own, own[1:])) and (not own or own[0][1] == 0 and own[-1][2] == ends[s])
+    assert bad and all(x.start is None for x in got.collect() if x.sample_id in bad)
