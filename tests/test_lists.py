@@ -126,3 +126,10 @@ def test_message_ranges_of_lists(spark):
         own = sorted((x.turn, x.start, x.end) for x in got.where(F.col("sample_id") == s).collect()) if s not in bad else []
         assert all(a[2] == b[1] for a, b in zip(own, own[1:])) and (not own or own[0][1] == 0 and own[-1][2] == ends[s])
     assert bad and all(x.start is None for x in got.collect() if x.sample_id in bad)
+
+
+def test_generated_range_of_lists(spark):
+    m = talk(spark)
+    ts = chat.chat_traces(m)
+    got, want = (chat.message_token_range(x.tokens, chat.render(m), chat.last_reply(m), lists=x.listed) for x in (ts, old(ts)))
+    assert rows(got) == rows(want) and got.count() and "Window" not in plan(got) and "BroadcastHashJoin" not in plan(got)
