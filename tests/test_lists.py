@@ -133,3 +133,18 @@ def test_generated_range_of_lists(spark):
     ts = chat.chat_traces(m)
     got, want = (chat.message_token_range(x.tokens, chat.render(m), chat.last_reply(m), lists=x.listed) for x in (ts, old(ts)))
     assert rows(got) == rows(want) and got.count() and "Window" not in plan(got) and "BroadcastHashJoin" not in plan(got)
+
+
+def test_tokenizer_lists(spark):
+    import public_tokenizers
+
+    from tracewright.functions.tokenizers import tokenize_file, tokenize_lists
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = spark.createDataFrame([(str(k), t) for k, t in enumerate(ODD)], "sample_id string, text string")
+    lists = L.Lists(tokenize_lists(texts, ["sample_id"], path), F.col("list"), F.col("ids"))
+    assert rows(lists.exploded().select("sample_id", "pos", "id", "token")) == rows(tokenize_file(texts, ["sample_id"], path))
+    assert rows(lists.joined()) == sorted((str(k), t) for k, t in enumerate(ODD) if t) and "Exchange" not in plan(lists.joined())
+    m = talk(spark).where("content IS NULL OR NOT content LIKE '%[end]%'")
+    parts = chat.chat_traces(m, tokenizer=path).text_parts().selectExpr("sample_id", "array_join(parts.text, '')")
+    assert rows(parts) == rows(chat.render(m))
