@@ -148,3 +148,19 @@ def test_tokenizer_lists(spark):
     m = talk(spark).where("content IS NULL OR NOT content LIKE '%[end]%'")
     parts = chat.chat_traces(m, tokenizer=path).text_parts().selectExpr("sample_id", "array_join(parts.text, '')")
     assert rows(parts) == rows(chat.render(m))
+
+
+def test_cuts_and_patterns_of_lists(spark):
+    ts = words(spark, ODD)
+    got = {(x.sample_id, x.pos): x.token for x in ts.listed.exploded().withColumn("id", F.lit(0)).collect()}
+    assert got == {(str(k), i): w for k, t in enumerate(ODD) for i, w in enumerate(re.findall(WORD_PATTERN.replace("\\\\", "\\"), t or ""))}
+    assert rows(chars(spark, ODD).listed.exploded().select("sample_id", "pos", "id", "token")) == rows(chars(spark, ODD).tokens.drop("extras"))
+    tags = [("^[ \t\r\n]+$", "w"), ("[.,]$", "p"), ("^ *[A-Z]", "up"), ("(?i)HÉ", "py"), ("\\d", "n"), ("never", "never")]
+    a, b = (x.tag_by_regexes(tags).annotations for x in (ts, old(ts)))
+    assert rows(a) == rows(b.select(*a.columns)) and "Exchange" not in plan(a)
+
+
+@pytest.mark.parametrize("pattern", ["a$", "[^a]$", "a|b$", "^$", "(a)", "a*+", "[$]", "b.", "^ ?[A-Da-d][.)]?$"])
+def test_patterns_read_alike(pattern):
+    strings = ["", "a", "a\n", "b\n", "\n", "ba", None, "$", "A)", " c.", "é", "bé"]
+    assert L.found_in(pa.array(strings, pa.string()), pattern).tolist() == [x is not None and re.search(pattern, x) is not None for x in strings]
