@@ -164,3 +164,13 @@ def test_cuts_and_patterns_of_lists(spark):
 def test_patterns_read_alike(pattern):
     strings = ["", "a", "a\n", "b\n", "\n", "ba", None, "$", "A)", " c.", "é", "bé"]
     assert L.found_in(pa.array(strings, pa.string()), pattern).tolist() == [x is not None and re.search(pattern, x) is not None for x in strings]
+
+
+def test_sets_and_selection_of_lists(spark):
+    ts = words(spark, [f"{t or ''} 1 2, B. C. x" for t in ODD] + [""]).tag_by_regexes([("[0-9]", "n"), ("[.,]$", "p"), ("^ ?[A-Z]", "up")])
+    sets = {(x.sample_id, p) for x in ts.position_sets(["p", "up"], ["n"]).collect() for p in x.positions}
+    at = {n: {tuple(x) for x in ts.annotation_positions(n).collect()} for n in ("n", "p", "up")}
+    assert sets == (at["p"] | at["up"]) - at["n"] and sets and "Exchange" not in plan(ts.annotation_positions("p"))
+    got, want = (x.select_by_annotation("up") for x in (ts, old(ts)))
+    assert rows(got) == rows(want.select(*got.columns)) and "range" not in plan(want).lower().split("join")[0] and "BroadcastNestedLoopJoin" not in plan(want)
+    assert rows(ts.lengths()) == rows(old(ts).lengths()) and "Exchange" not in plan(ts.lengths())
