@@ -174,3 +174,20 @@ def test_sets_and_selection_of_lists(spark):
     got, want = (x.select_by_annotation("up") for x in (ts, old(ts)))
     assert rows(got) == rows(want.select(*got.columns)) and "range" not in plan(want).lower().split("join")[0] and "BroadcastNestedLoopJoin" not in plan(want)
     assert rows(ts.lengths()) == rows(old(ts).lengths()) and "Exchange" not in plan(ts.lengths())
+
+
+def test_flat_positions_by_offsets(spark, monkeypatch):
+    monkeypatch.setattr(flat, "BLOCK", 4)
+    texts = ["a b c", "", "d", None, " ".join("xyz" * 9), "1 B 2"]
+    ts = words(spark, texts).tag_by_regexes([("[0-9]", "n"), ("[a-z]", "low")])
+    store = FlatStore.from_traces(ts)
+    want, at = {}, 0
+    for k, t in enumerate(texts):
+        for i in range(len((t or "").split())):
+            want[at + i] = (str(k), i)
+        at += len((t or "").split())
+    asked = spark.createDataFrame([(p,) for p in [-1, *range(at + 3), 2, None]], "global_pos long")
+    got = store.sample_position(asked)
+    assert rows(got) == sorted([(p, *x) for p, x in want.items()] + [(2, *want[2])], key=repr) and "regexp_extract_all" not in plan(got)
+    back = store.to_traces().annotations.select("sample_id", "name", "start", "end")
+    assert rows(back) == rows(ts.annotations.select("sample_id", "name", "start", "end"))
