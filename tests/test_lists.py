@@ -191,3 +191,10 @@ def test_flat_positions_by_offsets(spark, monkeypatch):
     assert rows(got) == sorted([(p, *x) for p, x in want.items()] + [(2, *want[2])], key=repr) and "regexp_extract_all" not in plan(got)
     back = store.to_traces().annotations.select("sample_id", "name", "start", "end")
     assert rows(back) == rows(ts.annotations.select("sample_id", "name", "start", "end"))
+
+
+def test_violations_of_lists(spark):
+    ts = words(spark, ODD).tag_by_regexes([("[0-9]", "n")]).create_span_from_tag("n", "s")
+    far = replace(ts, annotations=ts.annotations.withColumn("end", F.lit(10**6)), spans=ts.spans.withColumn("position", F.lit(-1).cast("long")))
+    assert rows(violations(far).groupBy("rule").count()) == rows(violations(old(far)).groupBy("rule").count()) and violations(far).count()
+    assert not violations(ts).count() and "regexp_extract_all(coalesce(text" not in plan(violations(far).where("rule = 'token_positions'"))
