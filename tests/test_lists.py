@@ -198,3 +198,20 @@ def test_violations_of_lists(spark):
     far = replace(ts, annotations=ts.annotations.withColumn("end", F.lit(10**6)), spans=ts.spans.withColumn("position", F.lit(-1).cast("long")))
     assert rows(violations(far).groupBy("rule").count()) == rows(violations(old(far)).groupBy("rule").count()) and violations(far).count()
     assert not violations(ts).count() and "regexp_extract_all(coalesce(text" not in plan(violations(far).where("rule = 'token_positions'"))
+
+
+def test_text_patterns_of_lists(spark):
+    ts = words(spark, [f"{t or ''} one of the, of  th of thof th" for t in ODD])
+    texts = {x.sample_id: x.value for x in ts.texts.collect()}
+    for mode in ("all", "first", "last"):
+        got, want = textmatch.overlapping(ts.tokens, "of th", mode, ts.listed), set()
+        for s, t in texts.items():
+            at, ends = [], 0
+            for w in re.findall("[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+", t):
+                at.append((ends, ends + len(w)))
+                ends += len(w)
+            for m in re.finditer("of th", t):
+                hit = [(s, i) for i, (a, b) in enumerate(at) if b > m.start() and a < m.end()]
+                want |= set(hit if mode == "all" else hit[:1] if mode == "first" else hit[-1:])
+        assert rows(got) == sorted(want, key=repr) == rows(textmatch.overlapping(ts.tokens, "of th", mode)) and "Exchange" not in plan(got)
+    assert rows(ts.listed.joined()) == sorted(((s, t) for s, t in texts.items() if t), key=repr) and "Exchange" not in plan(ts.listed.joined())
